@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, licenses, mixing
+import public_tokenizers
+from eventloom.llm import bpe, chat, exact_dedup, html_extract, langid, licenses, mixing, secret_scan, simhash, vector_topk
 
 SHARE, EPOCHS, SEED = 1.5, 2.0, 17
 
@@ -22,16 +23,55 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.col("vec_id") % 50 == 0
+    return vector_topk.exact_top_k(_table(spark, sf_dir, "embeddings"), asked, k=5, scale=256)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle=3, index=simhash.EXACT_64)
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("print")[0])), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digest(bpe.decode(encoded, ranks))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing,
         op2_exact_dedup,
+        op3_html_extraction,
         op4_license_scan,
+        op5_exact_top_k,
+        op6_simhash,
+        op7_secret_scan,
+        op8_byte_bpe,
+        op9_language_id,
+        op10_chat_perspectives,
     )
 }
 

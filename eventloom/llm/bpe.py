@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.shared import new_path
+from eventloom.session import ship_package
 
 #: Code points of a bundle; its last text may go beyond.
 BUNDLE_CHARS = 1 << 25
@@ -184,6 +185,7 @@ def _assemble(bundles: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", bundle_chars: int = BUNDLE_CHARS) -> DataFrame:
     """Per row: doc_id and its token ids."""
     spark = docs.sparkSession
+    ship_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = f"words array<string>, doc_ids array<{id_type}>, lengths array<int>, codes binary, bundle long"
@@ -208,6 +210,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Add `content`, the bytes that the ids stand for."""
+    ship_package(encoded.sparkSession)
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token

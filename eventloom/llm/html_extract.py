@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.shared import checkpoint, join_small
+from eventloom.session import ship_package
 
 #: Elements without content, elements that begin and end a line, elements that are never text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -226,6 +227,7 @@ def nearest_pages(places: DataFrame) -> DataFrame:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text and n_chars."""
+    ship_package(pages.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     keyed = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"),

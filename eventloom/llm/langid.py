@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.session import ship_package
+
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 8.0
@@ -101,6 +103,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             some = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "cell": some, "n": own[some]})
 
+    ship_package(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     counts = rows.mapInPandas(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):

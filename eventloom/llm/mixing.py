@@ -8,7 +8,7 @@ running sums finds the level instead of a loop.
 
 Within a source every document gets the whole part of target / size repetitions. The
 fractional part is one more repetition of the documents whose seeded hash is below a
-threshold, the largest that stays within the target, and of one more document that fills
+threshold, the largest that stays within the target, and of a few documents that fill
 the rest best. The threshold comes from a histogram of the leading hash bits, then
 from the documents of a single histogram cell, so that no task sees a whole source.
 
@@ -31,6 +31,8 @@ from eventloom.llm.shared import checkpoint, join_small, text_or_empty
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the hash that are used, and how many bits of it are left within a histogram cell.
 HASH_DIGITS, CELL_BITS = 15, 44
+#: Documents of a source that may fill what the threshold leaves.
+FILL_ROUNDS = 3
 
 
 def word_count(column: str) -> Column:
@@ -128,29 +130,43 @@ def plan_mix(
     fits = cut.select("mix_source", "need", start.alias("mix_hash"), F.col("below").alias("upto")).unionByName(
         ranked.where(F.col("upto") <= F.col("need")).select("mix_source", "need", "mix_hash", "upto")
     )
-    threshold = checkpoint(
+    filled = checkpoint(
         fits.groupBy("mix_source", "need")
         .agg(F.max(F.struct("mix_hash", "upto")).alias("at"))
-        .select("mix_source", F.col("at.mix_hash").alias("threshold"), (F.col("need") - F.col("at.upto")).alias("gap"))
+        .select(
+            "mix_source", F.col("at.mix_hash").alias("threshold"), (F.col("need") - F.col("at.upto")).alias("gap"),
+            F.array().cast("array<bigint>").alias("fillers"),
+        )
     )
-    # One document beyond the threshold may fill what is left, if that comes nearer to the target.
-    left = _beside(rows, threshold)
-    filler = (
-        left.where((F.col("mix_hash") > F.col("threshold")) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
-        .groupBy("mix_source")
-        .agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "mix_hash"))["mix_hash"].alias("filler"))
-    )
-    plan = _beside(_beside(plan, threshold, "left"), checkpoint(filler), "left")
-    never = F.lit(-1).cast("long")
+    # Documents beyond the threshold fill what is left, each the one that comes nearest to the target.
+    off = F.abs(F.col("gap") - F.col("size"))
+    for _ in range(FILL_ROUNDS):
+        best = (
+            _beside(rows, filled)
+            .where((F.col("mix_hash") > F.col("threshold")) & ~F.array_contains("fillers", F.col("mix_hash")) & (off < F.col("gap")))
+            .groupBy("mix_source")
+            .agg(F.min(F.struct(off.alias("off"), "mix_hash", "size")).alias("best"))
+        )
+        more = _beside(filled, checkpoint(best), "left")
+        filled = checkpoint(
+            more.select(
+                "mix_source", "threshold", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
+                F.when(F.col("best").isNull(), F.col("fillers")).otherwise(F.array_append("fillers", F.col("best.mix_hash"))).alias("fillers"),
+            )
+        )
+    planned = _beside(plan, filled, "left")
     return checkpoint(
-        plan.select("mix_source", "source_size", "target", "whole",
-                    F.coalesce("threshold", never).alias("threshold"), F.coalesce("filler", never).alias("filler"))
+        planned.select(
+            "mix_source", "source_size", "target", "whole",
+            F.coalesce("threshold", F.lit(-1).cast("long")).alias("threshold"),
+            F.coalesce("fillers", F.array().cast("array<bigint>")).alias("fillers"),
+        )
     )
 
 
 def copies() -> Column:
     """How often a row with `mix_hash` is taken, beside its source's plan."""
-    return F.col("whole") + ((F.col("mix_hash") <= F.col("threshold")) | (F.col("mix_hash") == F.col("filler"))).cast("long")
+    return F.col("whole") + ((F.col("mix_hash") <= F.col("threshold")) | F.array_contains("fillers", F.col("mix_hash"))).cast("long")
 
 
 def mix_sources(

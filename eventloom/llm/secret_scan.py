@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.session import ship_package
+
 #: Kinds in the order in which spans at the same place are listed.
 KINDS = ("assign", "access", "hex", "forge_token", "package_token")
 
@@ -102,6 +104,7 @@ def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id and its spans (kind, start, end)."""
+    ship_package(docs.sparkSession)
     scan = F.pandas_udf(_scan, SCHEMA.removeprefix("spans "))
     return docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col).cast("string")).alias("spans"))
 

@@ -33,9 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and go on from what was written."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as a table in the shared folder and go on from what was written.
+
+    A written table survives lost executors, is compressed, and keeps nothing of the plan.
+    """
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

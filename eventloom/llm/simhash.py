@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.shared import checkpoint, join_small
+from eventloom.session import ship_package
 
 #: Fingerprints per segment value up to which pairs are joined, and rows of a block beyond.
 CAP, BLOCK = 64, 2_048
@@ -95,6 +96,7 @@ def fingerprint(text: str, shingle: int, n_words: int, chunk: int = 2_040) -> np
 
 def fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int) -> Column:
     """A column of fingerprints as array<bigint>."""
+    ship_package(docs.sparkSession)
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
@@ -164,6 +166,7 @@ def links(nodes: DataFrame, index: Index) -> DataFrame:
         )
     if not some_crowded:
         return pairs
+    ship_package(nodes.sparkSession)
     members = join_small(table.select("key", "node").union(probes.select("key", "node")), crowded, "key").distinct()
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = (

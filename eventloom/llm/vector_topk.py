@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import ship_package
+
 #: Rows of a block, queries of a block, queries bounded at once, and cells per dimension.
 BLOCK_ROWS, BLOCK_QUERIES, SLICE, CELLS = 8_192, 2_048, 256, 16
 
@@ -115,6 +117,7 @@ def exact_top_k(
 
     `is_query` is a condition on the id, under the name vec_id.
     """
+    ship_package(vectors.sparkSession)
     doubles = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(F.lit(scale) * x).cast("double"))
     sound = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
     rows = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(sound, F.lit(False)) & (F.size(vector_col) > 0)).select(

@@ -166,11 +166,11 @@ placed AS (
   SELECT *, length(head) + length(text) + 11 AS n,
          coalesce(sum(length(head) + length(text) + 11) OVER (
            PARTITION BY conv_id, speaker, piece ORDER BY turn NULLS FIRST, role, text
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM heads)
 SELECT conv_id, speaker, piece, CAST(0 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS n_turns,
        string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
-       coalesce(string_agg(CASE WHEN role = speaker THEN CAST(at + length(head) AS VARCHAR) || '-' || CAST(at + n - 1 AS VARCHAR) END,
+       coalesce(string_agg(CASE WHEN role = speaker THEN CAST(begins + length(head) AS VARCHAR) || '-' || CAST(begins + n - 1 AS VARCHAR) END,
                            ',' ORDER BY turn NULLS FIRST, role, text), '') AS masks
 FROM placed GROUP BY conv_id, speaker, piece
 """

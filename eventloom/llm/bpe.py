@@ -23,13 +23,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +74,15 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _planes(numbers) -> bytes:
+    """Numbers as their bytes by significance: the upper ones are mostly zero and compress well."""
+    return np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 class Bundle:
     """Texts as positions in a list of distinct words."""
 
@@ -95,13 +104,13 @@ class Bundle:
         first, *rest = body.split(" ")
         if not first or first[-1].isspace():
             return None
-        out, pieces = self._cut(first), self.pieces
+        out, pieces, words = self._cut(first), self.pieces, self.words
         for piece in rest:
             own = pieces.get(piece)
             if own is None:
                 if not piece or piece[0].isspace() or piece[-1].isspace():
                     return None
-                own = pieces[piece] = self._cut(" " + piece)
+                own = pieces[piece] = [words.setdefault(" " + piece, len(words))] if piece.isalpha() else self._cut(" " + piece)
             out.extend(own)
         if len(body) < len(text):
             out.extend(self._cut(text[len(body) :]))
@@ -121,15 +130,13 @@ class Bundle:
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order))
         words = list(self.words)
-        # The bytes of all positions by significance: the upper ones are mostly zero.
-        planes = place[codes].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
         # A piece that was met in a text cut otherwise later may have added words nobody uses.
         used = order[counts[order] > 0]
         return {
             "words": [words[i] for i in used],
             "doc_ids": self.ids,
             "lengths": lengths,
-            "codes": zlib.compress(planes, 1),
+            "codes": zstandard.compress(_planes(place[codes])),
         }
 
 
@@ -152,33 +159,44 @@ def _bundles(pattern: str, bundle_chars: int):
 
 def _encode_words(ranks):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, ids = None, b""
+        last, ids = None, []
         for batch in batches:
-            out = []
+            known, number = [], []
             for word, same in groupby(batch.word):
                 if word != last:
-                    last, ids = word, np.array(merge(word.encode("utf-8", "surrogatepass"), ranks.value), "<u4").tobytes()
-                out += [ids] * sum(1 for _ in same)
-            yield pd.DataFrame({"bundle": batch.bundle, "code": batch.code, "ids": out})
+                    last, ids = word, merge(word.encode("utf-8", "surrogatepass"), ranks.value)
+                number += [len(known)] * sum(1 for _ in same)
+                known.append(ids)
+            # One row for each bundle in the batch, so that the way back carries no row per word.
+            own, codes = np.array(number), batch.code.to_numpy()
+            order = np.argsort(batch.bundle.to_numpy(), kind="stable")
+            names, starts = np.unique(batch.bundle.to_numpy()[order], return_index=True)
+            out = []
+            for part in np.split(order, starts[1:]):
+                some = [known[i] for i in own[part]]
+                out.append((_planes(codes[part]), _planes([len(x) for x in some]), _planes([i for x in some for i in x])))
+            yield pd.DataFrame(out, columns=["codes", "sizes", "ids"]).assign(bundle=names)
 
     return encode
 
 
 def _assemble(bundles: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    by_code = words.sort_values("code").ids.tolist()
-    sizes = np.array([len(x) // 4 for x in by_code], np.int64)
-    flat, starts = np.frombuffer(b"".join(by_code), "<u4").astype(np.int32), np.cumsum(sizes) - sizes
+    joined = lambda parts: np.concatenate([np.zeros(0, np.uint32), *map(_from_planes, parts)])
+    by_word, flat = joined(words.sizes).astype(np.int64), joined(words.ids).astype(np.int32)
+    codes = joined(words.codes)
+    sizes, starts = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    sizes[codes], starts[codes] = by_word, np.cumsum(by_word) - by_word
     doc_ids, ids = [], []
     for row in bundles.itertuples():
-        codes = np.frombuffer(zlib.decompress(row.codes), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-        at = 0
+        codes, at = _from_planes(zstandard.decompress(row.codes)), 0
         for doc_id, length in zip(row.doc_ids, row.lengths):
             own = codes[at : at + length]
             at += length
             n = sizes[own]
-            steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ends = np.cumsum(n)
+            steps = np.arange(ends[-1] if length else 0) + np.repeat(starts[own] - (ends - n), n)
             doc_ids.append(doc_id)
-            ids.append(flat[np.repeat(starts[own], n) + steps])
+            ids.append(flat[steps])
     return pd.DataFrame({"doc_id": pd.Series(doc_ids, dtype=object), "ids": ids})
 
 
@@ -200,7 +218,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     words = (
         bundles.select("bundle", F.posexplode("words").alias("code", "word"))
         .repartition("word").sortWithinPartitions("word")
-        .mapInPandas(_encode_words(spark.sparkContext.broadcast(ranks)), "bundle long, code int, ids binary")
+        .mapInPandas(_encode_words(spark.sparkContext.broadcast(ranks)), "codes binary, sizes binary, ids binary, bundle long")
     )
     kept = bundles.select("bundle", "doc_ids", "lengths", "codes")
     return kept.groupBy("bundle").cogroup(words.groupBy("bundle")).applyInPandas(
@@ -208,31 +226,46 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     )
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Add `content`, the bytes that the ids stand for."""
+def _token_bytes(encoded: DataFrame, ranks: dict[bytes, int]):
+    """The byte string of each id, broadcast: its size is the vocabulary's."""
     ship_package(encoded.sparkSession)
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    return encoded.sparkSession.sparkContext.broadcast(table)
 
-    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([b"".join(map(shared.value.__getitem__, ids)) for ids in batch])
 
-    return encoded.withColumn("content", F.pandas_udf(look_up, "binary")("ids"))
+def _look_up(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in ids.tolist()])
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """Number of ids and hashes of ids and content."""
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Add `content`, the bytes that the ids stand for."""
+    table = _token_bytes(encoded, ranks)
 
-    def of_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def contents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest() for ids in batch])
+            yield pd.Series([_look_up(ids, table.value) for ids in batch])
 
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.pandas_udf(of_ids, "string")("ids").alias("ids_sha256"),
-        F.sha2("content", 256).alias("decoded_sha256"),
-    )
+    return encoded.withColumn("content", F.pandas_udf(contents, "binary")("ids"))
+
+
+def digest(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Number of ids, and hashes of the ids and of the content they decode to.
+
+    The content is hashed where it is decoded and goes no further.
+    """
+    table = _token_bytes(encoded, ranks)
+    of = lambda data: hashlib.sha256(data).hexdigest()
+
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(
+                {
+                    "ids_sha256": [of(np.asarray(ids, "<u4").tobytes()) for ids in batch],
+                    "decoded_sha256": [of(_look_up(ids, table.value)) for ids in batch],
+                }
+            )
+
+    found = F.pandas_udf(hashes, "ids_sha256 string, decoded_sha256 string")("ids")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), found.alias("of")).select("doc_id", "n_tokens", "of.*")

@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by a shuffle of distinct words.
 
 1. Texts are cut into pre-tokens (words). Each task gathers its texts into bundles of
-   bounded size; a bundle keeps its distinct words once, in order, with numbers that
-   are small for frequent ones, and each text as its words' numbers. The bundles are written to the
+   bounded size; a bundle keeps its distinct words once, the most frequent first and
+   those of similar frequency in order, and each text as its words' places. The bundles are written to the
    shared folder, bucketed by bundle.
 2. The bundles' words are shuffled by word, so that all bundles' requests for a word
    meet in one sorted partition, which encodes each distinct word once.
@@ -126,15 +126,13 @@ class Bundle:
         lengths = np.array([len(c) for c in self.codes], np.int32)
         codes = np.concatenate(self.codes)
         counts = np.bincount(codes, minlength=len(self.words))
-        order = np.argsort(-counts, kind="stable")
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order))
         words = list(self.words)
         # A piece that was met in a text cut otherwise later may have added words nobody uses.
-        used = sorted(np.flatnonzero(counts).tolist(), key=words.__getitem__)
+        used = sorted(np.flatnonzero(counts).tolist(), key=lambda i: (-int(counts[i]).bit_length(), words[i]))
+        place = np.zeros(len(words), np.uint32)
+        place[used] = np.arange(len(used))
         return {
             "words": [words[i] for i in used],
-            "word_codes": place[used].astype(np.int32),
             "doc_ids": self.ids,
             "lengths": lengths,
             "codes": zstandard.compress(_planes(place[codes])),
@@ -207,7 +205,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     ship_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = f"words array<string>, word_codes array<int>, doc_ids array<{id_type}>, lengths array<int>, codes binary, bundle long"
+    schema = f"words array<string>, doc_ids array<{id_type}>, lengths array<int>, codes binary, bundle long"
     path = new_path(spark, "bundles")
     name = path.rpartition("/")[2].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -217,8 +215,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     )
     bundles = spark.table(name)
     words = (
-        bundles.select("bundle", F.explode(F.arrays_zip("words", "word_codes")).alias("own"))
-        .select("bundle", F.col("own.word_codes").alias("code"), F.col("own.words").alias("word"))
+        bundles.select("bundle", F.posexplode("words").alias("code", "word"))
         .repartition("word").sortWithinPartitions("word")
         .mapInPandas(_encode_words(spark.sparkContext.broadcast(ranks)), "codes binary, sizes binary, ids binary, bundle long")
     )

@@ -1,0 +1,26 @@
+"""Which runs of a log are live, from a list of ADD and DEL actions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def fold(actions: DataFrame) -> DataFrame:
+    """ADDs (version, id, action) without a DEL of the id at the same or a later version."""
+    removed = actions.where("action = 'DEL'").groupBy("id").agg(F.max("version").alias("removed_at"))
+    added = actions.where("action = 'ADD'").join(removed, "id", "left")
+    return added.where("removed_at IS NULL OR removed_at < version").select(*actions.columns)
+
+
+def live_order(runs: DataFrame) -> DataFrame:
+    """Runs in the order in which reads prefer them."""
+    return runs.orderBy("level", F.desc("id"))
+
+
+def count_by_level(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("level").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def ids_at_level(runs: DataFrame, level: int) -> DataFrame:
+    return runs.where(F.col("level") == level).select("id")

@@ -28,6 +28,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -152,6 +153,8 @@ def _bundles(pattern: str, bundle_chars: int):
                     bundle, number = Bundle(compiled), number + 1
         if bundle.ids:
             yield pd.DataFrame([bundle.row() | {"bundle": name()}])
+        del bundle  # the worker lives on: what the words took goes back
+        pa.default_memory_pool().release_unused()
 
     return make
 
@@ -199,8 +202,12 @@ def _assemble(bundles: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pd.Series(doc_ids, dtype=object), "ids": ids})
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", bundle_chars: int = BUNDLE_CHARS) -> DataFrame:
-    """Per row: doc_id and its token ids."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", bundle_chars: int = BUNDLE_CHARS, finish=None) -> DataFrame:
+    """Per row: doc_id and its token ids.
+
+    `finish`, a function and the schema of what it adds to doc_id, takes the place of the
+    ids: it is applied to the rows (doc_id, ids) of each bundle where they are put together.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -220,8 +227,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         .mapInPandas(_encode_words(spark.sparkContext.broadcast(ranks)), "codes binary, sizes binary, ids binary, bundle long")
     )
     kept = bundles.select("bundle", "doc_ids", "lengths", "codes")
+    last, added = finish or (lambda rows: rows, "ids array<int>")
     return kept.groupBy("bundle").cogroup(words.groupBy("bundle")).applyInPandas(
-        lambda b, w: _assemble(b, w), f"doc_id {id_type}, ids array<int>"
+        lambda b, w: last(_assemble(b, w)), f"doc_id {id_type}, {added}"
     )
 
 
@@ -249,22 +257,22 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.withColumn("content", F.pandas_udf(contents, "binary")("ids"))
 
 
-def digest(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Number of ids, and hashes of the ids and of the content they decode to.
+def encode_digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, **how) -> DataFrame:
+    """Per row: doc_id, the number of ids, and hashes of the ids and of the content they decode to.
 
-    The content is hashed where it is decoded and goes no further.
+    Ids are decoded and hashed in the task that puts them together, and go no further.
     """
-    table = _token_bytes(encoded, ranks)
+    table = _token_bytes(docs, ranks)
     of = lambda data: hashlib.sha256(data).hexdigest()
 
-    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "ids_sha256": [of(np.asarray(ids, "<u4").tobytes()) for ids in batch],
-                    "decoded_sha256": [of(_look_up(ids, table.value)) for ids in batch],
-                }
-            )
-
-    found = F.pandas_udf(hashes, "ids_sha256 string, decoded_sha256 string")("ids")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), found.alias("of")).select("doc_id", "n_tokens", "of.*")
+    def hashes(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "doc_id": rows.doc_id,
+                "n_tokens": [len(ids) for ids in rows.ids],
+                "ids_sha256": [of(np.asarray(ids, "<u4").tobytes()) for ids in rows.ids],
+                "decoded_sha256": [of(_look_up(ids, table.value)) for ids in rows.ids],
+            }
+        )
+
+    return encode(docs, ranks, pattern, finish=(hashes, "n_tokens long, ids_sha256 string, decoded_sha256 string"), **how)

@@ -49,7 +49,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.encode_digest(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

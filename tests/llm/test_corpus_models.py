@@ -221,8 +221,7 @@ def test_bpe_matches_tiktoken(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, word string")
     real = spark.read.parquet(f"{SF}/documents.parquet")
     for table, chars in ((docs, 1 << 25), (docs, 50), (real, 100_000)):
-        encoded = bpe.encode(table, RANKS, public_tokenizers.PATTERN, bundle_chars=chars)
-        got = bpe.digest(encoded, RANKS).collect()
+        got = bpe.encode_digest(table, RANKS, public_tokenizers.PATTERN, bundle_chars=chars).collect()
         want = [(r.doc_id, *expect(r.text)) for r in table.select("doc_id", "text").collect()]
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     back = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()

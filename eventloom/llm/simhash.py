@@ -15,9 +15,11 @@ its links, which has the same components.
 `EXACT_64` finds every pair of 64-bit fingerprints within 2 bits. With one 32-bit half
 differing in at most 1 bit, or else the other half equal, no link is lost. `WIDE_80` is
 for texts whose shingle sets have a Jaccard similarity of 0.8 or more: 1,344 bits make
-the distance a close estimate of the similarity (0.151 of the bits at 0.8), and 63
-segments of 21 bits meet in at least one with a probability of 0.87 at 0.8, 0.97 at
-0.85 and 0.998 at 0.9.
+the distance an estimate of the similarity (203 bits at 0.8, with a standard deviation
+of 13), and 63 segments of 21 bits meet in at least one with a probability of 0.87 at
+0.8, 0.97 at 0.85 and 0.998 at 0.9. A pair that meets within 245 bits is a link if it is
+within 165 bits, or else if its shingle sets have the similarity; among the members of
+a crowded value the estimate alone decides, at 203 bits.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero
 and is linked like any other; fewer words than a shingle has make one shingle; rows
@@ -27,7 +29,7 @@ are null; empty tables give empty results; extra columns are passed through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -53,17 +55,21 @@ class Index:
 
     n_words: 64-bit words of a fingerprint. segments: (word, shift, bits, ball radius 0 or 1).
     limit: greatest distance of a link. sketch: words compared within the join, and the
-    distance up to which a pair goes on from there to the complete comparison.
+    distance up to which a pair goes on from there to the complete comparison. sure: the
+    distance up to which a link needs no look at the texts, where one is made. crowd: the
+    greatest distance of a link within a crowded value. Both are the limit if not given.
     """
 
     n_words: int
     segments: tuple[tuple[int, int, int, int], ...]
     limit: int
     sketch: tuple[int, int]
+    sure: int | None = None
+    crowd: int | None = None
 
 
 EXACT_64 = Index(1, ((0, 32, 32, 1), (0, 0, 32, 0)), 2, (1, 2))
-WIDE_80 = Index(21, tuple((w, 21 * s, 21, 0) for w in range(21) for s in range(3)), 203, (2, 35))
+WIDE_80 = Index(21, tuple((w, 21 * s, 21, 0) for w in range(21) for s in range(3)), 245, (2, 35), sure=165, crowd=203)
 
 
 def hash_words(hashes: np.ndarray, n_words: int) -> np.ndarray:
@@ -94,6 +100,14 @@ def fingerprint(text: str, shingle: int, n_words: int, chunk: int = 2_040) -> np
     return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Distinct hashes of the text's shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)}
+    return np.fromiter(own, np.uint64, len(own)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int) -> Column:
     """A column of fingerprints as array<bigint>."""
     ship_package(docs.sparkSession)
@@ -144,8 +158,11 @@ def _block_links(limit: int):
     return links
 
 
-def links(nodes: DataFrame, index: Index) -> DataFrame:
-    """Linked pairs (a, b) of nodes (node, print) with distinct prints."""
+def links(nodes: DataFrame, index: Index, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Linked pairs (a, b) of nodes (node, print) with distinct prints.
+
+    `check` takes the pairs (a, b) that are beyond the sure distance and returns those that are links.
+    """
     n_sketch, sketch_limit = index.sketch
     slim = nodes.select("node", F.slice("print", 1, n_sketch).alias("sketch") if n_sketch < index.n_words else F.col("print").alias("sketch"), "print")
     table = slim.select(_keys(index, False).alias("key"), "node", "sketch")
@@ -159,11 +176,14 @@ def links(nodes: DataFrame, index: Index) -> DataFrame:
     pairs = p.join(t, (p["key"] == t["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     if n_sketch < index.n_words:
         whole = lambda name: nodes.select(F.col("node").alias(name), F.col("print").alias(f"print_{name}"))
-        pairs = (
-            pairs.join(whole("a"), "a").join(whole("b"), "b")
-            .where(_distance(F.col("print_a"), F.col("print_b"), index.n_words) <= index.limit)
-            .select("a", "b")
-        )
+        distance = _distance(F.col("print_a"), F.col("print_b"), index.n_words).alias("distance")
+        pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", distance).where(F.col("distance") <= index.limit)
+        if check is not None and index.sure is not None:
+            pairs = checkpoint(pairs)
+            sure = F.col("distance") <= index.sure
+            pairs = pairs.where(sure).select("a", "b").union(check(pairs.where(~sure).select("a", "b")))
+        else:
+            pairs = pairs.select("a", "b")
     if not some_crowded:
         return pairs
     ship_package(nodes.sparkSession)
@@ -175,7 +195,7 @@ def links(nodes: DataFrame, index: Index) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "node", "print", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
-    forest = dealt.groupBy("key", "low", "high").applyInPandas(_block_links(index.limit), "a long, b long")
+    forest = dealt.groupBy("key", "low", "high").applyInPandas(_block_links(index.limit if index.crowd is None else index.crowd), "a long, b long")
     return pairs.union(forest.distinct())
 
 
@@ -202,12 +222,17 @@ def components(pairs: DataFrame) -> DataFrame:
         state = now
 
 
-def near_groups(prints: DataFrame, index: Index) -> DataFrame:
-    """(print, component_id) of checkpointed rows (doc_id, print): the least id of the component."""
+def near_groups(prints: DataFrame, index: Index, check=None) -> DataFrame:
+    """(print, component_id) of checkpointed rows (doc_id, print): the least id of the component.
+
+    `check` takes pairs (a, b) and the nodes with the `content` of one of their rows.
+    """
+    content = [F.min("content").alias("content")] if check else []
     nodes = checkpoint(
-        prints.groupBy("print").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.monotonically_increasing_id())
+        prints.groupBy("print").agg(F.min("doc_id").alias("least_id"), *content).withColumn("node", F.monotonically_increasing_id())
     )
-    roots = components(links(nodes.select("node", "print"), index))
+    look = None if check is None else lambda pairs: check(pairs, nodes.select("node", "content"))
+    roots = components(links(nodes.select("node", "print"), index, look))
     member = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return member.join(ids, "root").select("print", "component_id")
@@ -221,7 +246,31 @@ def simhash_components(docs: DataFrame, shingle: int = 3, index: Index = EXACT_6
     return prints.join(near_groups(prints, index), "print").select("doc_id", "print", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, index: Index = WIDE_80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets have the Jaccard similarity.
+
+    `nodes` has the content of each node and `texts` the text of each content. Only texts that
+    a pair asks for are cut into shingles.
+    """
+    ship_package(pairs.sparkSession)
+
+    def batches(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in rows:
+            yield pd.Series([shingle_set(t or "", shingle) for t in batch])
+
+    asked = checkpoint(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+    cut = F.pandas_udf(batches, "array<bigint>")("text")
+    sets = checkpoint(join_small(texts, asked, "content").select("node", cut.alias("own")).dropDuplicates(["node"]))
+    whole = lambda name: sets.select(F.col("node").alias(name), F.col("own").alias(f"set_{name}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return (
+        pairs.join(whole("a"), "a").join(whole("b"), "b")
+        .where(both >= similarity * (F.size("set_a") + F.size("set_b") - both))
+        .select("a", "b")
+    )
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, index: Index = WIDE_80, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay: of each component the one with the least id. Columns unchanged.
 
     Rows without an id stay.
@@ -233,8 +282,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, index: Index = WIDE_80,
             fingerprints(docs, text_col, shingle, index.n_words).alias("print"),
         )
     )
+    texts = docs.select(content.alias("content"), F.col(text_col).cast("string").alias("text"))
+    check = lambda pairs, nodes: similar_pairs(pairs, nodes, texts, shingle, similarity)
     gone = checkpoint(
-        prints.join(near_groups(prints, index), "print")
+        prints.join(near_groups(prints, index, check), "print")
         .where(F.col("doc_id") != F.col("component_id"))
         .select("doc_id", "content").distinct()
     )

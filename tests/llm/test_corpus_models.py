@@ -196,6 +196,22 @@ def test_near_copies_go_and_others_stay(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if i % 10 != 1}
 
 
+def test_similarity_decides_near_the_threshold(spark):
+    """Pairs just above and just below 0.8; the index finds 0.9 of the first on average."""
+    rng, rows = random.Random(11), []
+    for i in range(80):
+        words = rng.choices([f"w{n}" for n in range(3000)], k=300)
+        changed = list(words)
+        for at in range(10, 290, 40)[: 6 + i % 2]:
+            changed[at] = f"new{rng.getrandbits(30)}"
+        own, other = (set(simhash.shingle_set(" ".join(w), 5).tolist()) for w in (words, changed))
+        assert (len(own & other) / len(own | other) >= 0.8) == (i % 2 == 0)
+        rows += [(10 * i, " ".join(words)), (10 * i + 1 + i % 2, " ".join(changed))]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert all(i % 10 == 1 for i in gone) and len(gone) >= 0.8 * 40
+
+
 def test_simhash_odd_rows(odd_docs):
     got = {r.doc_id: r.component_id for r in simhash.simhash_components(odd_docs).collect()}
     assert got[1] == got[2] == got[9] == 1 and got[3] == got[4] == 3

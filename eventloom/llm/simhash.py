@@ -18,8 +18,9 @@ for texts whose shingle sets have a Jaccard similarity of 0.8 or more: 1,344 bit
 the distance an estimate of the similarity (203 bits at 0.8, with a standard deviation
 of 13), and 63 segments of 21 bits meet in at least one with a probability of 0.87 at
 0.8, 0.97 at 0.85 and 0.998 at 0.9. A pair that meets within 245 bits is a link if it is
-within 165 bits, or else if its shingle sets have the similarity; among the members of
-a crowded value the estimate alone decides, at 203 bits.
+within 165 bits, or else if its shingle sets have the similarity, which is looked at for
+pairs that the links so far leave apart; among the members of a crowded value the
+estimate alone decides, at 203 bits.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero
 and is linked like any other; fewer words than a shingle has make one shingle; rows
@@ -158,15 +159,32 @@ def _block_links(limit: int):
     return links
 
 
+def _crowded_links(nodes: DataFrame, index: Index, members: DataFrame) -> DataFrame:
+    """A spanning forest of the links among the members (key, node) of each crowded value."""
+    ship_package(nodes.sparkSession)
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        members.join(sizes, "key").join(nodes, "node")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "node", "print", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    )
+    limit = index.limit if index.crowd is None else index.crowd
+    return dealt.groupBy("key", "low", "high").applyInPandas(_block_links(limit), "a long, b long").distinct()
+
+
 def links(nodes: DataFrame, index: Index, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Linked pairs (a, b) of nodes (node, print) with distinct prints.
+    """Links (a, b) of nodes (node, print) with distinct prints; they connect whatever all links connect.
 
-    `check` takes the pairs (a, b) that are beyond the sure distance and returns those that are links.
+    `check` takes the pairs (a, b) that are beyond the sure distance and returns those that
+    are links. It is asked about pairs that the sure links leave apart; no other pair could
+    change a component.
     """
     n_sketch, sketch_limit = index.sketch
     slim = nodes.select("node", F.slice("print", 1, n_sketch).alias("sketch") if n_sketch < index.n_words else F.col("print").alias("sketch"), "print")
     table = slim.select(_keys(index, False).alias("key"), "node", "sketch")
-    probes = slim.select(_keys(index, True).alias("key"), "node", "sketch")
+    balls = any(radius for *_, radius in index.segments)
+    probes = slim.select(_keys(index, True).alias("key"), "node", "sketch") if balls else table
     crowded = checkpoint(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CAP))
     some_crowded = not crowded.isEmpty()
     thin = lambda df: join_small(df, crowded.select("key"), "key", "left_anti") if some_crowded else df
@@ -174,29 +192,27 @@ def links(nodes: DataFrame, index: Index, check: Callable[[DataFrame], DataFrame
     p = thin(probes).select("key", F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     near = _distance(F.col("sketch_a"), F.col("sketch_b"), n_sketch) <= sketch_limit
     pairs = p.join(t, (p["key"] == t["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    asks = check is not None and index.sure is not None
     if n_sketch < index.n_words:
         whole = lambda name: nodes.select(F.col("node").alias(name), F.col("print").alias(f"print_{name}"))
         distance = _distance(F.col("print_a"), F.col("print_b"), index.n_words).alias("distance")
         pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", distance).where(F.col("distance") <= index.limit)
-        if check is not None and index.sure is not None:
-            pairs = checkpoint(pairs)
-            sure = F.col("distance") <= index.sure
-            pairs = pairs.where(sure).select("a", "b").union(check(pairs.where(~sure).select("a", "b")))
-        else:
-            pairs = pairs.select("a", "b")
-    if not some_crowded:
-        return pairs
-    ship_package(nodes.sparkSession)
-    members = join_small(table.select("key", "node").union(probes.select("key", "node")), crowded, "key").distinct()
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        members.select("key", "node").join(sizes, "key").join(nodes, "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "node", "print", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    )
-    forest = dealt.groupBy("key", "low", "high").applyInPandas(_block_links(index.limit if index.crowd is None else index.crowd), "a long, b long")
-    return pairs.union(forest.distinct())
+        pairs = checkpoint(pairs) if asks else pairs
+    sure = (pairs.where(F.col("distance") <= index.sure) if asks else pairs).select("a", "b")
+    if some_crowded:
+        met = join_small(table.select("key", "node"), crowded.select("key"), "key")
+        if balls:
+            met = met.union(join_small(probes.select("key", "node"), crowded.select("key"), "key")).distinct()
+        sure = sure.union(_crowded_links(nodes, index, checkpoint(met)))
+    if not asks:
+        return sure
+    roots = checkpoint(components(sure))
+    apart = pairs.where(F.col("distance") > index.sure).select("a", "b")
+    for end in ("a", "b"):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        apart = join_small(apart, named, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    found = check(checkpoint(apart.where("root_a <> root_b").select("a", "b")))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -17,10 +17,9 @@ differing in at most 1 bit, or else the other half equal, no link is lost. `WIDE
 for texts whose shingle sets have a Jaccard similarity of 0.8 or more: 1,344 bits make
 the distance an estimate of the similarity (203 bits at 0.8, with a standard deviation
 of 13), and 63 segments of 21 bits meet in at least one with a probability of 0.87 at
-0.8, 0.97 at 0.85 and 0.998 at 0.9. A pair that meets within 245 bits is a link if it is
-within 165 bits, or else if its shingle sets have the similarity, which is looked at for
-pairs that the links so far leave apart; among the members of a crowded value the
-estimate alone decides, at 203 bits.
+0.8, 0.97 at 0.85 and 0.998 at 0.9. Its fingerprints are of distinct shingles. Pairs that
+meet within 245 bits (203 among the members of a crowded value) are candidates only: in
+each component of theirs the shingle sets decide what is a link.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero
 and is linked like any other; fewer words than a shingle has make one shingle; rows
@@ -30,7 +29,7 @@ are null; empty tables give empty results; extra columns are passed through.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,6 +44,8 @@ from eventloom.session import ship_package
 
 #: Fingerprints per segment value up to which pairs are joined, and rows of a block beyond.
 CAP, BLOCK = 64, 2_048
+#: Shingle hashes of a block.
+BLOCK_HASHES = 1 << 20
 SEED = 42
 #: Constants of the SplitMix64 generator, which makes more hash words from one.
 GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -56,21 +57,19 @@ class Index:
 
     n_words: 64-bit words of a fingerprint. segments: (word, shift, bits, ball radius 0 or 1).
     limit: greatest distance of a link. sketch: words compared within the join, and the
-    distance up to which a pair goes on from there to the complete comparison. sure: the
-    distance up to which a link needs no look at the texts, where one is made. crowd: the
-    greatest distance of a link within a crowded value. Both are the limit if not given.
+    distance up to which a pair goes on from there to the complete comparison. crowd: the
+    greatest distance of a link within a crowded value, the limit if not given.
     """
 
     n_words: int
     segments: tuple[tuple[int, int, int, int], ...]
     limit: int
     sketch: tuple[int, int]
-    sure: int | None = None
     crowd: int | None = None
 
 
 EXACT_64 = Index(1, ((0, 32, 32, 1), (0, 0, 32, 0)), 2, (1, 2))
-WIDE_80 = Index(21, tuple((w, 21 * s, 21, 0) for w in range(21) for s in range(3)), 245, (2, 35), sure=165, crowd=203)
+WIDE_80 = Index(21, tuple((w, 21 * s, 21, 0) for w in range(21) for s in range(3)), 245, (2, 35), crowd=203)
 
 
 def hash_words(hashes: np.ndarray, n_words: int) -> np.ndarray:
@@ -85,15 +84,19 @@ def hash_words(hashes: np.ndarray, n_words: int) -> np.ndarray:
     return x
 
 
-def fingerprint(text: str, shingle: int, n_words: int, chunk: int = 2_040) -> np.ndarray:
-    """The fingerprint's words. Chunks bound the memory for long texts."""
+def fingerprint(text: str, shingle: int, n_words: int, chunk: int = 2_040, distinct: bool = False) -> np.ndarray:
+    """The fingerprint's words, of all shingles or of the distinct ones. Chunks bound the memory for long texts."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space
     if not words:
         return np.zeros(n_words, np.uint64)
-    n = max(1, len(words) - shingle + 1)
+    once = shingle_set(text, shingle).view(np.uint64) if distinct else None
+    n = len(once) if distinct else max(1, len(words) - shingle + 1)
     counts = np.zeros(64 * n_words, np.int64)
     for at in range(0, n, chunk):
-        own = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(at + chunk, n))]
+        if distinct:
+            own = once[at : at + chunk]
+        else:
+            own = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(at + chunk, n))]
         bits = np.unpackbits(hash_words(np.array(own, np.uint64), n_words).view(np.uint8), axis=1, bitorder="little")
         # Eight counters ride in one 64-bit word, so at most 255 rows are added at a time.
         sums = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(own), 255), axis=0)
@@ -109,13 +112,13 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.fromiter(own, np.uint64, len(own)).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int) -> Column:
+def fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int, distinct: bool = False) -> Column:
     """A column of fingerprints as array<bigint>."""
     ship_package(docs.sparkSession)
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([fingerprint(t or "", shingle, n_words).view(np.int64) for t in batch])
+            yield pd.Series([fingerprint(t or "", shingle, n_words, distinct=distinct).view(np.int64) for t in batch])
 
     return F.pandas_udf(batches, "array<bigint>")(F.col(text_col).cast("string"))
 
@@ -173,13 +176,8 @@ def _crowded_links(nodes: DataFrame, index: Index, members: DataFrame) -> DataFr
     return dealt.groupBy("key", "low", "high").applyInPandas(_block_links(limit), "a long, b long").distinct()
 
 
-def links(nodes: DataFrame, index: Index, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Links (a, b) of nodes (node, print) with distinct prints; they connect whatever all links connect.
-
-    `check` takes the pairs (a, b) that are beyond the sure distance and returns those that
-    are links. It is asked about pairs that the sure links leave apart; no other pair could
-    change a component.
-    """
+def links(nodes: DataFrame, index: Index) -> DataFrame:
+    """Links (a, b) of nodes (node, print) with distinct prints; they connect whatever all links connect."""
     n_sketch, sketch_limit = index.sketch
     slim = nodes.select("node", F.slice("print", 1, n_sketch).alias("sketch") if n_sketch < index.n_words else F.col("print").alias("sketch"), "print")
     table = slim.select(_keys(index, False).alias("key"), "node", "sketch")
@@ -192,27 +190,16 @@ def links(nodes: DataFrame, index: Index, check: Callable[[DataFrame], DataFrame
     p = thin(probes).select("key", F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     near = _distance(F.col("sketch_a"), F.col("sketch_b"), n_sketch) <= sketch_limit
     pairs = p.join(t, (p["key"] == t["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    asks = check is not None and index.sure is not None
     if n_sketch < index.n_words:
         whole = lambda name: nodes.select(F.col("node").alias(name), F.col("print").alias(f"print_{name}"))
-        distance = _distance(F.col("print_a"), F.col("print_b"), index.n_words).alias("distance")
-        pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", distance).where(F.col("distance") <= index.limit)
-        pairs = checkpoint(pairs) if asks else pairs
-    sure = (pairs.where(F.col("distance") <= index.sure) if asks else pairs).select("a", "b")
+        distance = _distance(F.col("print_a"), F.col("print_b"), index.n_words)
+        pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").where(distance <= index.limit).select("a", "b")
     if some_crowded:
         met = join_small(table.select("key", "node"), crowded.select("key"), "key")
         if balls:
             met = met.union(join_small(probes.select("key", "node"), crowded.select("key"), "key")).distinct()
-        sure = sure.union(_crowded_links(nodes, index, checkpoint(met)))
-    if not asks:
-        return sure
-    roots = checkpoint(components(sure))
-    apart = pairs.where(F.col("distance") > index.sure).select("a", "b")
-    for end in ("a", "b"):
-        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        apart = join_small(apart, named, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    found = check(checkpoint(apart.where("root_a <> root_b").select("a", "b")))
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
+        pairs = pairs.union(_crowded_links(nodes, index, checkpoint(met)))
+    return pairs
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -241,14 +228,14 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_groups(prints: DataFrame, index: Index, check=None) -> DataFrame:
     """(print, component_id) of checkpointed rows (doc_id, print): the least id of the component.
 
-    `check` takes pairs (a, b) and the nodes with the `content` of one of their rows.
+    `check` takes the links (a, b) and the nodes with the `content` of one of their rows, and returns the links that count.
     """
     content = [F.min("content").alias("content")] if check else []
     nodes = checkpoint(
         prints.groupBy("print").agg(F.min("doc_id").alias("least_id"), *content).withColumn("node", F.monotonically_increasing_id())
     )
-    look = None if check is None else lambda pairs: check(pairs, nodes.select("node", "content"))
-    roots = components(links(nodes.select("node", "print"), index, look))
+    found = links(nodes.select("node", "print"), index)
+    roots = components(check(found, nodes.select("node", "content")) if check else found)
     member = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return member.join(ids, "root").select("print", "component_id")
@@ -262,11 +249,59 @@ def simhash_components(docs: DataFrame, shingle: int = 3, index: Index = EXACT_6
     return prints.join(near_groups(prints, index), "print").select("doc_id", "print", "component_id")
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have the Jaccard similarity.
+def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of at least the Jaccard similarity that connect whatever such pairs connect."""
+    sizes = np.array([len(own) for own in sets])
+    values, places = np.unique(np.concatenate(sets), return_inverse=True)
+    ends, owners = np.cumsum(sizes), np.repeat(np.arange(len(ids)), sizes)[np.argsort(places, kind="stable")]
+    high = np.cumsum(np.bincount(places, minlength=len(values)))  # a value's owners end here
+    links, left = [], np.ones(len(ids), bool)
+    for first in range(len(ids)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue and left.any():
+            at = queue.pop()
+            mine = places[ends[at] - sizes[at] : ends[at]]
+            low = np.where(mine > 0, high[mine - 1], 0)
+            n = high[mine] - low
+            both = np.bincount(owners[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(ids))
+            found = np.flatnonzero(left & (both >= similarity * (sizes[at] + sizes - both)))
+            left[found] = False
+            links += [(ids[at], ids[x]) for x in found]
+            queue += found.tolist()
+    return links
+
+
+def set_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Similar pairs (a, b) among the members (key, node) of each key, as forests.
+
+    `sets` has the shingle set `own` of each node. Large keys are cut into blocks, and each
+    pair of blocks reports a forest.
+    """
+    ship_package(members.sparkSession)
+    held = members.join(sets, "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("own")) / BLOCK_HASHES, F.lit(1))).cast("int")
+    sizes = held.groupBy("key").agg(blocks.alias("blocks"))
+    dealt = (
+        held.join(sizes, "key")
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "node", "own", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    )
+
+    def forest(rows: pd.DataFrame) -> pd.DataFrame:
+        found = similar_forest(rows.node.to_numpy(), rows.own.to_list(), similarity)
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    `nodes` has the content of each node and `texts` the text of each content. Only texts that
-    a pair asks for are cut into shingles.
+    return dealt.groupBy("key", "low", "high").applyInPandas(forest, "a long, b long").distinct()
+
+
+def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes whose texts' shingle sets have the Jaccard similarity.
+
+    Within each component of the candidate pairs (a, b) the sets decide, and nothing else.
+    `nodes` has the content of each node and `texts` the text of each content. Only texts
+    that a candidate asks for are cut into shingles.
     """
     ship_package(pairs.sparkSession)
 
@@ -274,16 +309,12 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle:
         for batch in rows:
             yield pd.Series([shingle_set(t or "", shingle) for t in batch])
 
-    asked = checkpoint(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+    roots = components(pairs)
+    members = checkpoint(roots.select(F.col("root").alias("key"), "node").union(roots.select("root", F.col("root").alias("node"))).distinct())
+    asked = checkpoint(nodes.join(members, "node").select("node", "content"))
     cut = F.pandas_udf(batches, "array<bigint>")("text")
-    sets = checkpoint(join_small(texts, asked, "content").select("node", cut.alias("own")).dropDuplicates(["node"]))
-    whole = lambda name: sets.select(F.col("node").alias(name), F.col("own").alias(f"set_{name}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return (
-        pairs.join(whole("a"), "a").join(whole("b"), "b")
-        .where(both >= similarity * (F.size("set_a") + F.size("set_b") - both))
-        .select("a", "b")
-    )
+    sets = checkpoint(join_small(texts, asked, "content").dropDuplicates(["node"]).select("node", cut.alias("own")))
+    return set_links(members, sets, similarity)
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, index: Index = WIDE_80, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,11 +326,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, index: Index = WIDE_80,
     prints = checkpoint(
         docs.select(
             F.col(id_col).alias("doc_id"), content.alias("content"),
-            fingerprints(docs, text_col, shingle, index.n_words).alias("print"),
+            fingerprints(docs, text_col, shingle, index.n_words, distinct=True).alias("print"),
         )
     )
     texts = docs.select(content.alias("content"), F.col(text_col).cast("string").alias("text"))
-    check = lambda pairs, nodes: similar_pairs(pairs, nodes, texts, shingle, similarity)
+    check = lambda pairs, nodes: similar_links(pairs, nodes, texts, shingle, similarity)
     gone = checkpoint(
         prints.join(near_groups(prints, index, check), "print")
         .where(F.col("doc_id") != F.col("component_id"))

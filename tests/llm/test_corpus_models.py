@@ -212,6 +212,36 @@ def test_similarity_decides_near_the_threshold(spark):
     assert all(i % 10 == 1 for i in gone) and len(gone) >= 0.8 * 40
 
 
+def kept_by_brute_force(rows):
+    """Ids that stay if all pairs of Jaccard similarity 0.8 are links."""
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def kept(spark, rows):
+    return {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_repeated_lines_do_not_decide(spark):
+    """Different texts with one line 20 times stay; a text with its line 2 or 6 times is one text."""
+    rng, rows = random.Random(3), []
+    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    for i in range(0, 400, 10):
+        line, text = words(12), words(100)
+        if i % 20:
+            rows += [(i, f"{text} " + f"{line} " * 20), (i + 1, f"{words(100)} " + f"{line} " * 20)]
+        else:
+            rows += [(i, f"{line} " * 2 + text[:90]), (i + 1, f"{line} " * 6 + text[:90])]
+    want = kept_by_brute_force(rows)
+    assert len(want) == 60 and kept(spark, rows) == want
+
+
 def test_simhash_odd_rows(odd_docs):
     got = {r.doc_id: r.component_id for r in simhash.simhash_components(odd_docs).collect()}
     assert got[1] == got[2] == got[9] == 1 and got[3] == got[4] == 3

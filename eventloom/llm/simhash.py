@@ -18,8 +18,8 @@ for texts whose shingle sets have a Jaccard similarity of 0.8 or more: 1,344 bit
 the distance an estimate of the similarity (203 bits at 0.8, with a standard deviation
 of 13), and 63 segments of 21 bits meet in at least one with a probability of 0.87 at
 0.8, 0.97 at 0.85 and 0.998 at 0.9. Its fingerprints are of distinct shingles. Pairs that
-meet within 245 bits (203 among the members of a crowded value) are candidates only: in
-each component of theirs the shingle sets decide what is a link.
+meet within 245 bits are candidates only, in crowded values too: in each component of
+theirs the shingle sets decide what is a link.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero
 and is linked like any other; fewer words than a shingle has make one shingle; rows
@@ -57,19 +57,17 @@ class Index:
 
     n_words: 64-bit words of a fingerprint. segments: (word, shift, bits, ball radius 0 or 1).
     limit: greatest distance of a link. sketch: words compared within the join, and the
-    distance up to which a pair goes on from there to the complete comparison. crowd: the
-    greatest distance of a link within a crowded value, the limit if not given.
+    distance up to which a pair goes on from there to the complete comparison.
     """
 
     n_words: int
     segments: tuple[tuple[int, int, int, int], ...]
     limit: int
     sketch: tuple[int, int]
-    crowd: int | None = None
 
 
 EXACT_64 = Index(1, ((0, 32, 32, 1), (0, 0, 32, 0)), 2, (1, 2))
-WIDE_80 = Index(21, tuple((w, 21 * s, 21, 0) for w in range(21) for s in range(3)), 245, (2, 35), crowd=203)
+WIDE_80 = Index(21, tuple((w, 21 * s, 21, 0) for w in range(21) for s in range(3)), 245, (2, 35))
 
 
 def hash_words(hashes: np.ndarray, n_words: int) -> np.ndarray:
@@ -172,8 +170,7 @@ def _crowded_links(nodes: DataFrame, index: Index, members: DataFrame) -> DataFr
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "node", "print", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
-    limit = index.limit if index.crowd is None else index.crowd
-    return dealt.groupBy("key", "low", "high").applyInPandas(_block_links(limit), "a long, b long").distinct()
+    return dealt.groupBy("key", "low", "high").applyInPandas(_block_links(index.limit), "a long, b long").distinct()
 
 
 def links(nodes: DataFrame, index: Index) -> DataFrame:

@@ -242,6 +242,22 @@ def test_repeated_lines_do_not_decide(spark):
     assert len(want) == 60 and kept(spark, rows) == want
 
 
+@pytest.mark.parametrize("cap", [1, 64])
+def test_one_similarity_at_every_size(spark, cap, monkeypatch):
+    """Groups around one text, crowded or not: members above and below 0.8, and chains."""
+    monkeypatch.setattr(simhash, "CAP", cap)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng, rows = random.Random(5), []
+    for i in range(0, 300, 100):
+        words = rng.choices([f"w{n}" for n in range(3000)], k=300)
+        for k in range(40):
+            changed = list(words)
+            for at in rng.sample(range(10, 290, 6), k % 10):
+                changed[at] = f"new{rng.getrandbits(30)}"
+            rows.append((i + (7 * k) % 40, " ".join(changed)))
+    assert kept(spark, rows) == kept_by_brute_force(rows)
+
+
 def test_simhash_odd_rows(odd_docs):
     got = {r.doc_id: r.component_id for r in simhash.simhash_components(odd_docs).collect()}
     assert got[1] == got[2] == got[9] == 1 and got[3] == got[4] == 3

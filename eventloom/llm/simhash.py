@@ -14,12 +14,13 @@ its links, which has the same components.
 
 `EXACT_64` finds every pair of 64-bit fingerprints within 2 bits. With one 32-bit half
 differing in at most 1 bit, or else the other half equal, no link is lost. `WIDE_80` is
-for texts whose shingle sets have a Jaccard similarity of 0.8 or more: 1,344 bits make
-the distance an estimate of the similarity (203 bits at 0.8, with a standard deviation
-of 13), and 63 segments of 21 bits meet in at least one with a probability of 0.87 at
-0.8, 0.97 at 0.85 and 0.998 at 0.9. Its fingerprints are of distinct shingles. Pairs that
-meet within 245 bits are candidates only, in crowded values too: in each component of
-theirs the shingle sets decide what is a link.
+for texts whose shingle sets have a Jaccard similarity of 0.8 or more: 1,344 bits of the
+distinct shingles, of which 203 differ at 0.8 with a standard deviation of 13. By
+calculation a pair agrees up to a ball of radius 1 in one of 63 segments of 21 bits with a
+probability of 0.99997 at 0.8. Such a pair is a candidate if the first 128 bits are within
+35 (19 +- 4 at 0.8); balls are looked up inside groups, which report forests at any size.
+In each component of candidates the shingle sets decide what is a link, and nothing else.
+Bits of few shingles say less, so texts with up to `SHORT` are joined on them as well.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero
 and is linked like any other; fewer words than a shingle has make one shingle; rows
@@ -46,6 +47,10 @@ from eventloom.session import ship_package
 CAP, BLOCK = 64, 2_048
 #: Shingle hashes of a block.
 BLOCK_HASHES = 1 << 20
+#: Rows of a group in which balls are looked up, and links of two segment values up to which they are listed.
+GROUP, LISTED = 32_768, 64
+#: Texts of up to so many distinct shingles are joined on the shingles, as majorities of few say little.
+SHORT = 32
 SEED = 42
 #: Constants of the SplitMix64 generator, which makes more hash words from one.
 GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -56,18 +61,17 @@ class Index:
     """How fingerprints are cut and compared.
 
     n_words: 64-bit words of a fingerprint. segments: (word, shift, bits, ball radius 0 or 1).
-    limit: greatest distance of a link. sketch: words compared within the join, and the
-    distance up to which a pair goes on from there to the complete comparison.
+    limit: greatest distance of a link, in the first `compared` words (all if not given).
     """
 
     n_words: int
     segments: tuple[tuple[int, int, int, int], ...]
     limit: int
-    sketch: tuple[int, int]
+    compared: int | None = None
 
 
-EXACT_64 = Index(1, ((0, 32, 32, 1), (0, 0, 32, 0)), 2, (1, 2))
-WIDE_80 = Index(21, tuple((w, 21 * s, 21, 0) for w in range(21) for s in range(3)), 245, (2, 35))
+EXACT_64 = Index(1, ((0, 32, 32, 1), (0, 0, 32, 0)), 2)
+WIDE_80 = Index(21, tuple((w, 21 * s, 21, 1) for w in range(21) for s in range(3)), 35, compared=2)
 
 
 def hash_words(hashes: np.ndarray, n_words: int) -> np.ndarray:
@@ -82,26 +86,33 @@ def hash_words(hashes: np.ndarray, n_words: int) -> np.ndarray:
     return x
 
 
-def fingerprint(text: str, shingle: int, n_words: int, chunk: int = 2_040, distinct: bool = False) -> np.ndarray:
-    """The fingerprint's words, of all shingles or of the distinct ones. Chunks bound the memory for long texts."""
+def fingerprint(text: str, shingle: int, n_words: int, chunk: int = 2_040) -> np.ndarray:
+    """The fingerprint's words. Chunks bound the memory for long texts."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space
     if not words:
         return np.zeros(n_words, np.uint64)
-    once = shingle_set(text, shingle).view(np.uint64) if distinct else None
-    n = len(once) if distinct else max(1, len(words) - shingle + 1)
+    n = max(1, len(words) - shingle + 1)
     counts = np.zeros(64 * n_words, np.int64)
     for at in range(0, n, chunk):
-        if distinct:
-            own = once[at : at + chunk]
-        else:
-            own = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(at + chunk, n))]
-        bits = np.unpackbits(hash_words(np.array(own, np.uint64), n_words).view(np.uint8), axis=1, bitorder="little")
-        # Eight counters ride in one 64-bit word, so at most 255 rows are added at a time.
-        sums = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(own), 255), axis=0)
-        counts += sums.view(np.uint8).reshape(len(sums), -1).sum(axis=0, dtype=np.int64)
+        own = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(at + chunk, n))]
+        counts += bit_counts(np.array(own, np.uint64), n_words)
     return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)
 
 
+def bit_counts(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    bits = np.unpackbits(hash_words(hashes, n_words).view(np.uint8), axis=1, bitorder="little")
+    # Eight counters ride in one 64-bit word, so at most 255 rows are added at a time.
+    sums = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(hashes), 255), axis=0)
+    return sums.view(np.uint8).reshape(len(sums), -1).sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray, n_words: int, chunk: int = 2_040) -> np.ndarray:
+    """The fingerprint's words of a set of shingle hashes."""
+    parts = [bit_counts(hashes[at : at + chunk], n_words) for at in range(0, len(hashes), chunk)]
+    return np.packbits(2 * sum(parts, np.zeros(64 * n_words, np.int64)) > len(hashes), bitorder="little").view(np.uint64)
+
+
 def shingle_set(text: str, shingle: int) -> np.ndarray:
     """Distinct hashes of the text's shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -110,17 +121,30 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.fromiter(own, np.uint64, len(own)).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int, distinct: bool = False) -> Column:
+def fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int) -> Column:
     """A column of fingerprints as array<bigint>."""
     ship_package(docs.sparkSession)
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([fingerprint(t or "", shingle, n_words, distinct=distinct).view(np.int64) for t in batch])
+            yield pd.Series([fingerprint(t or "", shingle, n_words).view(np.int64) for t in batch])
 
     return F.pandas_udf(batches, "array<bigint>")(F.col(text_col).cast("string"))
 
 
+def set_fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int, most: int) -> Column:
+    """A column of fingerprints of distinct shingles, with the shingles `few` themselves if they are up to `most`."""
+    ship_package(docs.sparkSession)
+
+    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            sets = [shingle_set(t or "", shingle) for t in batch]
+            prints = [majority(own.view(np.uint64), n_words).view(np.int64) for own in sets]
+            yield pd.DataFrame({"print": prints, "few": [own if len(own) <= most else None for own in sets]})
+
+    return F.pandas_udf(batches, "print array<bigint>, few array<bigint>")(F.col(text_col).cast("string"))
+
+
 def _keys(index: Index, ball: bool) -> Column:
     """Table keys of a fingerprint `print`, or all it looks up."""
     keys = []
@@ -175,22 +199,16 @@ def _crowded_links(nodes: DataFrame, index: Index, members: DataFrame) -> DataFr
 
 def links(nodes: DataFrame, index: Index) -> DataFrame:
     """Links (a, b) of nodes (node, print) with distinct prints; they connect whatever all links connect."""
-    n_sketch, sketch_limit = index.sketch
-    slim = nodes.select("node", F.slice("print", 1, n_sketch).alias("sketch") if n_sketch < index.n_words else F.col("print").alias("sketch"), "print")
-    table = slim.select(_keys(index, False).alias("key"), "node", "sketch")
+    table = nodes.select(_keys(index, False).alias("key"), "node", "print")
     balls = any(radius for *_, radius in index.segments)
-    probes = slim.select(_keys(index, True).alias("key"), "node", "sketch") if balls else table
+    probes = nodes.select(_keys(index, True).alias("key"), "node", "print") if balls else table
     crowded = checkpoint(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CAP))
     some_crowded = not crowded.isEmpty()
     thin = lambda df: join_small(df, crowded.select("key"), "key", "left_anti") if some_crowded else df
-    t = thin(table).select("key", F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    p = thin(probes).select("key", F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    near = _distance(F.col("sketch_a"), F.col("sketch_b"), n_sketch) <= sketch_limit
+    t = thin(table).select("key", F.col("node").alias("b"), F.col("print").alias("print_b"))
+    p = thin(probes).select("key", F.col("node").alias("a"), F.col("print").alias("print_a"))
+    near = _distance(F.col("print_a"), F.col("print_b"), index.n_words) <= index.limit
     pairs = p.join(t, (p["key"] == t["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    if n_sketch < index.n_words:
-        whole = lambda name: nodes.select(F.col("node").alias(name), F.col("print").alias(f"print_{name}"))
-        distance = _distance(F.col("print_a"), F.col("print_b"), index.n_words)
-        pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").where(distance <= index.limit).select("a", "b")
     if some_crowded:
         met = join_small(table.select("key", "node"), crowded.select("key"), "key")
         if balls:
@@ -199,6 +217,97 @@ def links(nodes: DataFrame, index: Index) -> DataFrame:
     return pairs
 
 
+def least_members(n: int, ends: np.ndarray) -> np.ndarray:
+    """The least member of each one's component among 0 to n - 1, by links (two rows of ends)."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[ends[0]], least[ends[1]])
+        now = least.copy()
+        for end in ends:
+            np.minimum.at(now, end, low)
+            np.minimum.at(now, least[end], low)
+        now = now[now]
+        if (now == least).all():
+            return least
+        least = now
+
+
+def ball_forest(nodes: np.ndarray, values: np.ndarray, sketches: np.ndarray, flips: list[int], limit: int, equal: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect what links of values that differ in one of `flips`, or of equal ones, connect.
+
+    A link has a sketch distance of at most `limit`. Ends are members of a component and its least member.
+    """
+    order = np.lexsort((nodes, values))
+    nodes, values, sketches = nodes[order], values[order], sketches[order]
+    runs, first, size = np.unique(values, return_index=True, return_counts=True)
+    own = np.flatnonzero(size > 1) if equal else np.zeros(0, np.int64)
+    meets = [(own, own)]
+    for flip in flips:
+        low = np.flatnonzero(runs & flip == 0)
+        at = np.minimum(np.searchsorted(runs, runs[low] | flip), len(runs) - 1)
+        hit = runs[at] == runs[low] | flip
+        meets.append((low[hit], at[hit]))
+    one, two = (np.concatenate(side) for side in zip(*meets))
+    product = size[one] * size[two]
+    ends = []
+    few = np.flatnonzero(product <= LISTED)
+    for part in np.array_split(few, product[few].sum() // 1_000_000 + 1):
+        n, wide = product[part], size[two[part]]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a = np.repeat(first[one[part]], n) + place // np.repeat(wide, n)
+        b = np.repeat(first[two[part]], n) + place % np.repeat(wide, n)
+        near = (a != b) & (np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1) <= limit)
+        ends.append(np.stack((a[near], b[near])))
+    for at in np.flatnonzero(product > LISTED):
+        u, v = one[at], two[at]
+        both = np.concatenate([np.arange(first[x], first[x] + size[x]) for x in ((u,) if u == v else (u, v))])
+        found = spanning_forest(both, sketches[both], limit)
+        ends.append(np.array(found, np.int64).reshape(-1, 2).T)
+    ends = np.concatenate(ends, axis=1).astype(np.int64)
+    touched, ends = np.unique(ends, return_inverse=True)
+    ends = ends.reshape(2, -1)
+    by_node = np.argsort(nodes[touched])
+    place = np.empty(len(touched), np.int64)
+    place[by_node] = np.arange(len(touched))
+    least = least_members(len(touched), place[ends])
+    ids = nodes[touched][by_node]
+    moved = np.flatnonzero(least != np.arange(len(ids)))
+    return ids[moved], ids[least[moved]]
+
+
+def ball_links(nodes: DataFrame, index: Index) -> DataFrame:
+    """Links (a, b) of nodes (node, print) that connect whatever pairs within `index` connect.
+
+    Balls of radius 1 are not sent about. Each segment's value goes out twice, dealt by its
+    upper half and by its lower half: two values that differ in one bit meet where they
+    are dealt by the half that they share, and are looked up there. Every group reports a forest.
+    """
+    ship_package(nodes.sparkSession)
+    groups = min(1024, 1 << (nodes.count() // GROUP).bit_length())
+    keys = []
+    for n, (word, shift, bits, _) in enumerate(index.segments):
+        value = F.shiftrightunsigned(F.col("print")[word], shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        keys.append(value.bitwiseOR(F.lit(n << 32).cast("long")))
+    sketch = [F.col("print")[i].alias(f"s{i}") for i in range(index.compared)]
+    cut = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *sketch)
+    half = min(bits for _, _, bits, _ in index.segments) // 2
+    upper = F.shiftrightunsigned("key", half).bitwiseAND(F.lit(groups - 1).cast("long"))
+    lower = F.col("key").bitwiseAND(F.lit((1 << half) - 1).cast("long")).bitwiseAND(F.lit(groups - 1).cast("long"))
+    place = lambda side, part: (F.shiftrightunsigned("key", 32) * 2 + side) * 1024 + part
+    dealt = cut.withColumn("place", F.explode(F.array(place(0, upper), place(1, lower))))
+    widths = [bits for _, _, bits, _ in index.segments]
+    limit, names = index.limit, [f"s{i}" for i in range(index.compared)]
+
+    def forest(rows: pd.DataFrame) -> pd.DataFrame:
+        segment, side = divmod(int(rows.place.iloc[0]) // 1024, 2)
+        flips = [1 << bit for bit in (range(half, widths[segment]) if side else range(half))]
+        sketches = rows[names].to_numpy().view(np.uint64)
+        a, b = ball_forest(rows.node.to_numpy(), rows.key.to_numpy(), sketches, flips, limit, side == 0)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return dealt.groupBy("place").applyInPandas(forest, "a long, b long").distinct()
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the links (a, b); the root is the component's least node.
 
@@ -225,14 +334,14 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_groups(prints: DataFrame, index: Index, check=None) -> DataFrame:
     """(print, component_id) of checkpointed rows (doc_id, print): the least id of the component.
 
-    `check` takes the links (a, b) and the nodes with the `content` of one of their rows, and returns the links that count.
+    `check` takes candidates (a, b) and the nodes with `content` and `few` of one of their rows, and returns the links that count.
     """
-    content = [F.min("content").alias("content")] if check else []
+    content = [F.min(F.struct("content", "few")).alias("held")] if check else []
     nodes = checkpoint(
         prints.groupBy("print").agg(F.min("doc_id").alias("least_id"), *content).withColumn("node", F.monotonically_increasing_id())
     )
-    found = links(nodes.select("node", "print"), index)
-    roots = components(check(found, nodes.select("node", "content")) if check else found)
+    slim = nodes.select("node", "print")
+    roots = components(check(ball_links(slim, index), nodes.select("node", "held.*")) if check else links(slim, index))
     member = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return member.join(ids, "root").select("print", "component_id")
@@ -314,6 +423,19 @@ def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle:
     return set_links(members, sets, similarity)
 
 
+def short_links(few: DataFrame, similarity: float) -> DataFrame:
+    """All similar pairs of nodes (node, few) with small shingle sets, joined on the shingles.
+
+    Sets of the similarity share one of their first shingles in any fixed order, if of each set
+    the first are taken that it can't do without: all but ceil(similarity * size) - 1.
+    """
+    sets = checkpoint(few.where(F.size("few") > 0).select("node", F.array_sort("few").alias("own")))
+    first = F.slice("own", 1, (F.size("own") - F.ceil(similarity * F.size("own")) + 1).cast("int"))
+    keyed = checkpoint(sets.select(F.explode(first).alias("key"), "node"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return set_links(keyed.join(shared, "key"), sets, similarity)
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = 5, index: Index = WIDE_80, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay: of each component the one with the least id. Columns unchanged.
 
@@ -323,11 +445,13 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, index: Index = WIDE_80,
     prints = checkpoint(
         docs.select(
             F.col(id_col).alias("doc_id"), content.alias("content"),
-            fingerprints(docs, text_col, shingle, index.n_words, distinct=True).alias("print"),
-        )
+            set_fingerprints(docs, text_col, shingle, index.n_words, int(SHORT / similarity)).alias("own"),
+        ).select("doc_id", "content", "own.*")
     )
     texts = docs.select(content.alias("content"), F.col(text_col).cast("string").alias("text"))
-    check = lambda pairs, nodes: similar_links(pairs, nodes, texts, shingle, similarity)
+    check = lambda pairs, nodes: (
+        similar_links(pairs, nodes, texts, shingle, similarity).union(short_links(nodes.where("few IS NOT NULL"), similarity))
+    )
     gone = checkpoint(
         prints.join(near_groups(prints, index, check), "print")
         .where(F.col("doc_id") != F.col("component_id"))

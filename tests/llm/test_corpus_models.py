@@ -258,6 +258,48 @@ def test_one_similarity_at_every_size(spark, cap, monkeypatch):
     assert kept(spark, rows) == kept_by_brute_force(rows)
 
 
+def test_no_pair_at_the_threshold_is_lost(spark):
+    rng, rows = random.Random(13), []
+    for i in range(0, 900, 10):
+        words = [f"w{rng.randrange(9000)}" for _ in range(300 if i % 20 else 9)]
+        changed = words[:8]
+        if i % 20:
+            changed = list(words)
+            for at in range(10, 250, 40):
+                changed[at] = f"new{rng.getrandbits(30)}"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(changed))]
+    want = kept_by_brute_force(rows)
+    assert len(want) == 90 and kept(spark, rows) == want
+
+
+@pytest.mark.parametrize("listed", [0, 64])
+def test_balls_lose_nothing(listed, monkeypatch):
+    monkeypatch.setattr(simhash, "LISTED", listed)
+    rng = np.random.default_rng(listed)
+    for n_values in (3, 40, 500):
+        nodes = rng.permutation(10_000)[:300]
+        values = rng.choice(rng.integers(0, 64, n_values), 300)
+        sketches = rng.choice(rng.integers(0, 1 << 63, (60, 2), np.uint64), 300) ^ (np.uint64(1) << rng.integers(0, 63, (300, 2), np.uint64))
+        links = []
+        for flips, equal in (([1, 2, 4], True), ([8, 16, 32], False)):
+            a, b = simhash.ball_forest(nodes, values, sketches, flips, 4, equal)
+            assert len(a) < 300 and (a > b).all()
+            links += zip(a.tolist(), b.tolist())
+        near = lambda i, j: (values[i] ^ values[j]).bit_count() <= 1 and np.bitwise_count(sketches[i] ^ sketches[j]).sum() <= 4
+        want = [(nodes[i], nodes[j]) for i in range(300) for j in range(i) if near(i, j)]
+        assert want and component_sets(links, nodes.tolist()) == component_sets(want, nodes.tolist())
+
+
+def component_sets(links, nodes):
+    group = {n: {n} for n in nodes}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for n in group[b]:
+                group[n] = group[a]
+    return [group[n] for n in nodes]
+
+
 def test_simhash_odd_rows(odd_docs):
     got = {r.doc_id: r.component_id for r in simhash.simhash_components(odd_docs).collect()}
     assert got[1] == got[2] == got[9] == 1 and got[3] == got[4] == 3

@@ -1,7 +1,7 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages of a host are sorted by URL path, and each is paired with the neighbour whose path
-shares more leading parts. The text lines of the two are aligned by their longest common
+shares more leading parts. Pages with equal lines, or on one path, share a partner. The text lines of the two are aligned by their longest common
 subsequence; what they share is the site's, not the page's, and is deleted.
 
 A line is a block of the page with white space made single. Markup that names its
@@ -225,6 +225,20 @@ def nearest_pages(places: DataFrame) -> DataFrame:
     return scored.select(F.col("at.key").alias("key"), nearer.alias("partner")).where("partner IS NOT NULL")
 
 
+def partners_of_other_content(places: DataFrame) -> DataFrame:
+    """(key, partner) of rows (host, path, key, content).
+
+    Of a host's pages with equal lines the first in order stands for all, and of those that
+    stand on one path again the first, so that no copy and no other crawl is a page's partner.
+    """
+    places = checkpoint(places)
+    stands = places.groupBy("host", "content").agg(F.min(F.struct("path", "key")).alias("at")).select("host", "content", F.col("at.path").alias("stand"))
+    firsts = places.join(stands, ["host", "content"]).where(F.col("path") == F.col("stand"))
+    firsts = checkpoint(firsts.groupBy("host", "path").agg(F.min("key").alias("key")))
+    named = nearest_pages(firsts).join(firsts, "key").select("host", F.col("path").alias("stand"), "partner")
+    return places.join(stands, ["host", "content"]).join(named, ["host", "stand"]).select("key", "partner")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text and n_chars."""
     ship_package(pages.sparkSession)
@@ -236,11 +250,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     parts = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)([^?#]*)"
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     places = keyed.select(
-        F.lower(F.regexp_extract(url, parts, 1)).alias("host"), F.regexp_extract(url, parts, 2).alias("path"), "key"
+        F.lower(F.regexp_extract(url, parts, 1)).alias("host"), F.regexp_extract(url, parts, 2).alias("path"), "key",
+        F.xxhash64(_parsed(False)("html")).alias("content"),
     ).distinct()
     hashes = keyed.select("key", _parsed(False)("html").alias("others")).dropDuplicates(["key"])
     partners = (
-        nearest_pages(places).join(hashes.withColumnRenamed("key", "partner"), "partner").select("key", "others")
+        partners_of_other_content(places).join(hashes.withColumnRenamed("key", "partner"), "partner").select("key", "others")
     )
     lines = keyed.select("page_id", "url", "key", _parsed(True)("html").alias("parsed")).select("page_id", "url", "key", "parsed.*")
     whole = lines.join(partners, "key", "left")

@@ -55,6 +55,15 @@ def test_html_article_only(spark):
     assert html_extract.extract_text(pages).count() == 5 and html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+def test_html_copies_do_not_delete_each_other(spark):
+    page = lambda n: f"<div>Site of things</div><p>Story {n} begins</p><p>And goes on {n}</p><div>All rights reserved</div>"
+    rows = [(10 * n + k, f"http://h/s/{n}{'/copy' * (k == 2)}", page(n)) for n in range(10, 16) for k in range(3)]
+    rows.append((500, "http://h/s/15", page(15).replace("begins", "began")))
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Story {i // 10} begins\n\nAnd goes on {i // 10}" for i, *_ in rows}
+    assert got == want | {500: "Story 15 began\n\nAnd goes on 15"}
+
+
 def test_html_differencing_without_markup(spark):
     page = lambda n: f"<div>Site of things</div><div>Menu A | B</div><p>Story {n} begins</p><p>And goes on {n}</p><div>All rights reserved</div>"
     rows = [(n, f"http://h{n % 2}/s/{n // 8}/{n}.html", page(n)) for n in range(60)] + [(99, "http://alone/", page(99))]

@@ -28,14 +28,13 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.shared import new_path
+from eventloom.llm.shared import new_path, release_memory
 from eventloom.session import ship_package
 
 #: Code points of a bundle; its last text may go beyond.
@@ -153,8 +152,8 @@ def _bundles(pattern: str, bundle_chars: int):
                     bundle, number = Bundle(compiled), number + 1
         if bundle.ids:
             yield pd.DataFrame([bundle.row() | {"bundle": name()}])
-        del bundle  # the worker lives on: what the words took goes back
-        pa.default_memory_pool().release_unused()
+        del bundle
+        release_memory()
 
     return make
 
@@ -178,6 +177,7 @@ def _encode_words(ranks):
                 some = [known[i] for i in own[part]]
                 out.append((_planes(codes[part]), _planes([len(x) for x in some]), _planes([i for x in some for i in x])))
             yield pd.DataFrame(out, columns=["codes", "sizes", "ids"]).assign(bundle=names)
+        release_memory()
 
     return encode
 
@@ -221,6 +221,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         .write.option("path", path).option("compression", "zstd").bucketBy(buckets, "bundle").saveAsTable(name)
     )
     bundles = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and `bundles` still knows how they are bucketed
     words = (
         bundles.select("bundle", F.posexplode("words").alias("code", "word"))
         .repartition("word").sortWithinPartitions("word")

@@ -26,13 +26,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.shared import release_memory
 from eventloom.session import ship_package
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 8.0
-#: Letters are scored in slices of so many code points.
-SLICE = 1 << 19
+#: Letters are scored in slices of so many code points, and texts labelled together up to so many.
+SLICE, PART = 1 << 19, 1 << 20
+#: Languages with the most letters in the labelled texts, of which a model is made.
+MAX_LANGUAGES = 256
 #: Share of a language's letters from which on it uses a script.
 SCRIPT_SHARE = 0.01
 
@@ -88,7 +91,8 @@ def word_features(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict | None:
     """The model of all rows with a text and a language; None if there are none.
 
-    What reaches the driver is one number per language and bucket or script.
+    What reaches the driver is one number per language and bucket or script. Where labels are
+    so dirty that there are more than `MAX_LANGUAGES`, those with the most letters are learned.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,9 +106,12 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         for lang, own in sums.items():
             some = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "cell": some, "n": own[some]})
+        release_memory()
 
     ship_package(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
+    largest = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("letters")).orderBy(F.desc("letters"), "lang").limit(MAX_LANGUAGES)
+    rows = rows.join(F.broadcast(largest.select("lang")), "lang")
     counts = rows.mapInPandas(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
@@ -167,11 +174,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
-def _predict(texts: pd.Series, model: dict, penalty: float) -> pd.DataFrame:
-    parts = [word_scores(t or "", model) for t in texts]
+def _predict(texts: list[str], model: dict, penalty: float) -> pd.DataFrame:
+    parts = [word_scores(t, model) for t in texts]
     lengths = np.array([len(p[1]) for p in parts])
     letters = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
-    labels = viterbi(np.concatenate([p[0] for p in parts]), lengths, penalty)
+    labels = viterbi(np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, 1)), lengths, penalty)
     text_of = np.repeat(np.arange(len(parts)), lengths)
     n = len(model["langs"])
     total = np.bincount(text_of * n + labels, letters, len(parts) * n).reshape(-1, n)
@@ -192,6 +199,18 @@ def language_spans(text: str, model: dict, penalty: float = SWITCH_PENALTY) -> l
     return [(model["langs"][part[0]], len(part)) for part in np.split(labels, cuts) if len(part)]
 
 
+def _in_parts(texts: pd.Series, model: dict, penalty: float) -> pd.DataFrame:
+    """`_predict` for a part of the texts at a time, so that a batch of long ones takes no more memory."""
+    parts, held, points = [], [], 0
+    for text in texts:
+        held.append(text or "")
+        points += len(held[-1])
+        if points >= PART:
+            parts.append(_predict(held, model, penalty))
+            held, points = [], 0
+    return pd.concat([*parts, _predict(held, model, penalty)] if held or not parts else parts, ignore_index=True)
+
+
 def predict(df: DataFrame, model: dict | None, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> Column:
     """A column of structs: lang_pred and score."""
     if model is None:
@@ -200,7 +219,8 @@ def predict(df: DataFrame, model: dict | None, text_col: str = "text", penalty:
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield _predict(batch, shared.value, penalty)
+            yield _in_parts(batch, shared.value, penalty)
+        release_memory()
 
     return F.pandas_udf(batches, "lang_pred string, score double")(F.col(text_col).cast("string"))
 

@@ -13,14 +13,8 @@ are compared block by block, and each pair of blocks reports only a spanning for
 its links, which has the same components.
 
 `EXACT_64` finds every pair of 64-bit fingerprints within 2 bits. With one 32-bit half
-differing in at most 1 bit, or else the other half equal, no link is lost. `WIDE_80` is
-for texts whose shingle sets have a Jaccard similarity of 0.8 or more: 1,344 bits of the
-distinct shingles, of which 203 differ at 0.8 with a standard deviation of 13. By
-calculation a pair agrees up to a ball of radius 1 in one of 63 segments of 21 bits with a
-probability of 0.99997 at 0.8. Such a pair is a candidate if the first 128 bits are within
-35 (19 +- 4 at 0.8); balls are looked up inside groups, which report forests at any size.
-In each component of candidates the shingle sets decide what is a link, and nothing else.
-Bits of few shingles say less, so texts with up to `SHORT` are joined on them as well.
+differing in at most 1 bit, or else the other half equal, no link is lost. For similarity
+of shingle sets there are wider fingerprints in `near_copies`.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero
 and is linked like any other; fewer words than a shingle has make one shingle; rows
@@ -40,17 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.shared import checkpoint, join_small
+from eventloom.llm.shared import checkpoint, join_small, release_memory
 from eventloom.session import ship_package
 
 #: Fingerprints per segment value up to which pairs are joined, and rows of a block beyond.
 CAP, BLOCK = 64, 2_048
-#: Shingle hashes of a block.
-BLOCK_HASHES = 1 << 20
-#: Rows of a group in which balls are looked up, and links of two segment values up to which they are listed.
-GROUP, LISTED = 32_768, 64
-#: Texts of up to so many distinct shingles are joined on the shingles, as majorities of few say little.
-SHORT = 32
 SEED = 42
 #: Constants of the SplitMix64 generator, which makes more hash words from one.
 GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -61,17 +49,15 @@ class Index:
     """How fingerprints are cut and compared.
 
     n_words: 64-bit words of a fingerprint. segments: (word, shift, bits, ball radius 0 or 1).
-    limit: greatest distance of a link, in the first `compared` words (all if not given).
+    limit: greatest distance of a link.
     """
 
     n_words: int
     segments: tuple[tuple[int, int, int, int], ...]
     limit: int
-    compared: int | None = None
 
 
 EXACT_64 = Index(1, ((0, 32, 32, 1), (0, 0, 32, 0)), 2)
-WIDE_80 = Index(21, tuple((w, 21 * s, 21, 1) for w in range(21) for s in range(3)), 35, compared=2)
 
 
 def hash_words(hashes: np.ndarray, n_words: int) -> np.ndarray:
@@ -113,14 +99,6 @@ def majority(hashes: np.ndarray, n_words: int, chunk: int = 2_040) -> np.ndarray
     return np.packbits(2 * sum(parts, np.zeros(64 * n_words, np.int64)) > len(hashes), bitorder="little").view(np.uint64)
 
 
-def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """Distinct hashes of the text's shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - shingle + 1) if words else 0
-    own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)}
-    return np.fromiter(own, np.uint64, len(own)).view(np.int64)
-
-
 def fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int) -> Column:
     """A column of fingerprints as array<bigint>."""
     ship_package(docs.sparkSession)
@@ -128,23 +106,11 @@ def fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int) ->
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([fingerprint(t or "", shingle, n_words).view(np.int64) for t in batch])
+        release_memory()
 
     return F.pandas_udf(batches, "array<bigint>")(F.col(text_col).cast("string"))
 
 
-def set_fingerprints(docs: DataFrame, text_col: str, shingle: int, n_words: int, most: int) -> Column:
-    """A column of fingerprints of distinct shingles, with the shingles `few` themselves if they are up to `most`."""
-    ship_package(docs.sparkSession)
-
-    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            sets = [shingle_set(t or "", shingle) for t in batch]
-            prints = [majority(own.view(np.uint64), n_words).view(np.int64) for own in sets]
-            yield pd.DataFrame({"print": prints, "few": [own if len(own) <= most else None for own in sets]})
-
-    return F.pandas_udf(batches, "print array<bigint>, few array<bigint>")(F.col(text_col).cast("string"))
-
-
 def _keys(index: Index, ball: bool) -> Column:
     """Table keys of a fingerprint `print`, or all it looks up."""
     keys = []
@@ -232,82 +198,6 @@ def least_members(n: int, ends: np.ndarray) -> np.ndarray:
         least = now
 
 
-def ball_forest(nodes: np.ndarray, values: np.ndarray, sketches: np.ndarray, flips: list[int], limit: int, equal: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect what links of values that differ in one of `flips`, or of equal ones, connect.
-
-    A link has a sketch distance of at most `limit`. Ends are members of a component and its least member.
-    """
-    order = np.lexsort((nodes, values))
-    nodes, values, sketches = nodes[order], values[order], sketches[order]
-    runs, first, size = np.unique(values, return_index=True, return_counts=True)
-    own = np.flatnonzero(size > 1) if equal else np.zeros(0, np.int64)
-    meets = [(own, own)]
-    for flip in flips:
-        low = np.flatnonzero(runs & flip == 0)
-        at = np.minimum(np.searchsorted(runs, runs[low] | flip), len(runs) - 1)
-        hit = runs[at] == runs[low] | flip
-        meets.append((low[hit], at[hit]))
-    one, two = (np.concatenate(side) for side in zip(*meets))
-    product = size[one] * size[two]
-    ends = []
-    few = np.flatnonzero(product <= LISTED)
-    for part in np.array_split(few, product[few].sum() // 1_000_000 + 1):
-        n, wide = product[part], size[two[part]]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        a = np.repeat(first[one[part]], n) + place // np.repeat(wide, n)
-        b = np.repeat(first[two[part]], n) + place % np.repeat(wide, n)
-        near = (a != b) & (np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1) <= limit)
-        ends.append(np.stack((a[near], b[near])))
-    for at in np.flatnonzero(product > LISTED):
-        u, v = one[at], two[at]
-        both = np.concatenate([np.arange(first[x], first[x] + size[x]) for x in ((u,) if u == v else (u, v))])
-        found = spanning_forest(both, sketches[both], limit)
-        ends.append(np.array(found, np.int64).reshape(-1, 2).T)
-    ends = np.concatenate(ends, axis=1).astype(np.int64)
-    touched, ends = np.unique(ends, return_inverse=True)
-    ends = ends.reshape(2, -1)
-    by_node = np.argsort(nodes[touched])
-    place = np.empty(len(touched), np.int64)
-    place[by_node] = np.arange(len(touched))
-    least = least_members(len(touched), place[ends])
-    ids = nodes[touched][by_node]
-    moved = np.flatnonzero(least != np.arange(len(ids)))
-    return ids[moved], ids[least[moved]]
-
-
-def ball_links(nodes: DataFrame, index: Index) -> DataFrame:
-    """Links (a, b) of nodes (node, print) that connect whatever pairs within `index` connect.
-
-    Balls of radius 1 are not sent about. Each segment's value goes out twice, dealt by its
-    upper half and by its lower half: two values that differ in one bit meet where they
-    are dealt by the half that they share, and are looked up there. Every group reports a forest.
-    """
-    ship_package(nodes.sparkSession)
-    groups = min(1024, 1 << (nodes.count() // GROUP).bit_length())
-    keys = []
-    for n, (word, shift, bits, _) in enumerate(index.segments):
-        value = F.shiftrightunsigned(F.col("print")[word], shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        keys.append(value.bitwiseOR(F.lit(n << 32).cast("long")))
-    sketch = [F.col("print")[i].alias(f"s{i}") for i in range(index.compared)]
-    cut = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *sketch)
-    half = min(bits for _, _, bits, _ in index.segments) // 2
-    upper = F.shiftrightunsigned("key", half).bitwiseAND(F.lit(groups - 1).cast("long"))
-    lower = F.col("key").bitwiseAND(F.lit((1 << half) - 1).cast("long")).bitwiseAND(F.lit(groups - 1).cast("long"))
-    place = lambda side, part: (F.shiftrightunsigned("key", 32) * 2 + side) * 1024 + part
-    dealt = cut.withColumn("place", F.explode(F.array(place(0, upper), place(1, lower))))
-    widths = [bits for _, _, bits, _ in index.segments]
-    limit, names = index.limit, [f"s{i}" for i in range(index.compared)]
-
-    def forest(rows: pd.DataFrame) -> pd.DataFrame:
-        segment, side = divmod(int(rows.place.iloc[0]) // 1024, 2)
-        flips = [1 << bit for bit in (range(half, widths[segment]) if side else range(half))]
-        sketches = rows[names].to_numpy().view(np.uint64)
-        a, b = ball_forest(rows.node.to_numpy(), rows.key.to_numpy(), sketches, flips, limit, side == 0)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return dealt.groupBy("place").applyInPandas(forest, "a long, b long").distinct()
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the links (a, b); the root is the component's least node.
 
@@ -331,17 +221,12 @@ def components(pairs: DataFrame) -> DataFrame:
         state = now
 
 
-def near_groups(prints: DataFrame, index: Index, check=None) -> DataFrame:
-    """(print, component_id) of checkpointed rows (doc_id, print): the least id of the component.
-
-    `check` takes candidates (a, b) and the nodes with `content` and `few` of one of their rows, and returns the links that count.
-    """
-    content = [F.min(F.struct("content", "few")).alias("held")] if check else []
+def near_groups(prints: DataFrame, index: Index) -> DataFrame:
+    """(print, component_id) of checkpointed rows (doc_id, print): the least id of the component."""
     nodes = checkpoint(
-        prints.groupBy("print").agg(F.min("doc_id").alias("least_id"), *content).withColumn("node", F.monotonically_increasing_id())
+        prints.groupBy("print").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.monotonically_increasing_id())
     )
-    slim = nodes.select("node", "print")
-    roots = components(check(ball_links(slim, index), nodes.select("node", "held.*")) if check else links(slim, index))
+    roots = components(links(nodes.select("node", "print"), index))
     member = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return member.join(ids, "root").select("print", "component_id")
@@ -353,109 +238,3 @@ def simhash_components(docs: DataFrame, shingle: int = 3, index: Index = EXACT_6
         docs.select(F.col(id_col).alias("doc_id"), fingerprints(docs, text_col, shingle, index.n_words).alias("print"))
     )
     return prints.join(near_groups(prints, index), "print").select("doc_id", "print", "component_id")
-
-
-def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of at least the Jaccard similarity that connect whatever such pairs connect."""
-    sizes = np.array([len(own) for own in sets])
-    values, places = np.unique(np.concatenate(sets), return_inverse=True)
-    ends, owners = np.cumsum(sizes), np.repeat(np.arange(len(ids)), sizes)[np.argsort(places, kind="stable")]
-    high = np.cumsum(np.bincount(places, minlength=len(values)))  # a value's owners end here
-    links, left = [], np.ones(len(ids), bool)
-    for first in range(len(ids)):
-        queue = [first] if left[first] else []
-        left[first] = False
-        while queue and left.any():
-            at = queue.pop()
-            mine = places[ends[at] - sizes[at] : ends[at]]
-            low = np.where(mine > 0, high[mine - 1], 0)
-            n = high[mine] - low
-            both = np.bincount(owners[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(ids))
-            found = np.flatnonzero(left & (both >= similarity * (sizes[at] + sizes - both)))
-            left[found] = False
-            links += [(ids[at], ids[x]) for x in found]
-            queue += found.tolist()
-    return links
-
-
-def set_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Similar pairs (a, b) among the members (key, node) of each key, as forests.
-
-    `sets` has the shingle set `own` of each node. Large keys are cut into blocks, and each
-    pair of blocks reports a forest.
-    """
-    ship_package(members.sparkSession)
-    held = members.join(sets, "node")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("own")) / BLOCK_HASHES, F.lit(1))).cast("int")
-    sizes = held.groupBy("key").agg(blocks.alias("blocks"))
-    dealt = (
-        held.join(sizes, "key")
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "node", "own", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    )
-
-    def forest(rows: pd.DataFrame) -> pd.DataFrame:
-        found = similar_forest(rows.node.to_numpy(), rows.own.to_list(), similarity)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return dealt.groupBy("key", "low", "high").applyInPandas(forest, "a long, b long").distinct()
-
-
-def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes whose texts' shingle sets have the Jaccard similarity.
-
-    Within each component of the candidate pairs (a, b) the sets decide, and nothing else.
-    `nodes` has the content of each node and `texts` the text of each content. Only texts
-    that a candidate asks for are cut into shingles.
-    """
-    ship_package(pairs.sparkSession)
-
-    def batches(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in rows:
-            yield pd.Series([shingle_set(t or "", shingle) for t in batch])
-
-    roots = components(pairs)
-    members = checkpoint(roots.select(F.col("root").alias("key"), "node").union(roots.select("root", F.col("root").alias("node"))).distinct())
-    asked = checkpoint(nodes.join(members, "node").select("node", "content"))
-    cut = F.pandas_udf(batches, "array<bigint>")("text")
-    sets = checkpoint(join_small(texts, asked, "content").dropDuplicates(["node"]).select("node", cut.alias("own")))
-    return set_links(members, sets, similarity)
-
-
-def short_links(few: DataFrame, similarity: float) -> DataFrame:
-    """All similar pairs of nodes (node, few) with small shingle sets, joined on the shingles.
-
-    Sets of the similarity share one of their first shingles in any fixed order, if of each set
-    the first are taken that it can't do without: all but ceil(similarity * size) - 1.
-    """
-    sets = checkpoint(few.where(F.size("few") > 0).select("node", F.array_sort("few").alias("own")))
-    first = F.slice("own", 1, (F.size("own") - F.ceil(similarity * F.size("own")) + 1).cast("int"))
-    keyed = checkpoint(sets.select(F.explode(first).alias("key"), "node"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return set_links(keyed.join(shared, "key"), sets, similarity)
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = 5, index: Index = WIDE_80, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each component the one with the least id. Columns unchanged.
-
-    Rows without an id stay.
-    """
-    content = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    prints = checkpoint(
-        docs.select(
-            F.col(id_col).alias("doc_id"), content.alias("content"),
-            set_fingerprints(docs, text_col, shingle, index.n_words, int(SHORT / similarity)).alias("own"),
-        ).select("doc_id", "content", "own.*")
-    )
-    texts = docs.select(content.alias("content"), F.col(text_col).cast("string").alias("text"))
-    check = lambda pairs, nodes: (
-        similar_links(pairs, nodes, texts, shingle, similarity).union(short_links(nodes.where("few IS NOT NULL"), similarity))
-    )
-    gone = checkpoint(
-        prints.join(near_groups(prints, index, check), "print")
-        .where(F.col("doc_id") != F.col("component_id"))
-        .select("doc_id", "content").distinct()
-    )
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), content.alias("content"))
-    return join_small(keyed, gone, ["doc_id", "content"], "left_anti").select("row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, exact_dedup, langid, mixing, simhash
+from eventloom.llm import bpe, exact_dedup, langid, mixing, near_copies
 from eventloom.llm.shared import new_path
 
 
@@ -26,7 +26,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the row with the smallest id."""
-    return simhash.drop_near_copies(docs, shingle=5, index=simhash.WIDE_80)
+    return near_copies.drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

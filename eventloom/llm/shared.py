@@ -5,63 +5,15 @@ from __future__ import annotations
 import ctypes
 import gc
 import string
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A table is broadcast by `join_small` up to this many rows.
-BROADCAST_ROWS = 100_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one that the session names in ``spark.checkpoint.dir``. Only a local
-    session without one (tests) gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return configured
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and go on from what was written.
-
-    A written table survives lost executors, is compressed, and keeps nothing of the plan.
-    """
-    path = new_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def join_small(large: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that is usually small.
-
-    `small` should be checkpointed, as it is counted first. Up to `limit` rows it is
-    broadcast; beyond that both sides are shuffled and adaptive execution splits hot keys.
-    """
-    few = small.limit(limit + 1).count() <= limit
-    return large.join(F.broadcast(small) if few else small, on, how)
-
+from eventloom.storage import checkpoint, join_small, new_path, shared_dir  # noqa: F401
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""

@@ -8,8 +8,13 @@ are trained on, so each rendering has the spans of exactly those. Turns the role
 A conversation may be longer than a task can hold. It is therefore rendered in pieces of
 `PIECE` turn numbers; the pieces of a rendering, joined by piece and part, are the whole
 dialogue, and one below `PIECE` turns has one piece. Where many rows crowd one piece
-(equal or missing turn numbers), they are dealt to parts by hash. Participants come from
-a distinct list per conversation, with partial aggregation before the shuffle.
+(equal or missing turn numbers), they are numbered in the dialogue's order, and each
+`PART_ROWS` of them make a part. Participants come from a distinct list per conversation,
+with partial aggregation before the shuffle.
+
+No turn can forge another: `<` and `|` of a text or name that stand together, or with
+backslashes between, get one backslash more between them, and line ends in a name become
+spaces. `plain_text` undoes the former.
 
 Defined results: turns are ordered by number (nulls first), role and text; rows that
 repeat all of conv_id, turn, role and text count once; a null text is empty; a null
@@ -20,9 +25,12 @@ result; extra columns are ignored. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.shared import checkpoint, join_small
+from eventloom.operators.sequences import number_rows
+
 #: Turn numbers of a piece, and rows that a piece holds before it is split.
 PIECE, PART_ROWS = 256, 1024
 
@@ -31,6 +39,15 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 NO_ROLE, SYSTEM = "unknown", "system"
 
 
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def plain_text(text: Column) -> Column:
+    """What `escaped` was given."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+
+
 def rotate_perspectives(turns: DataFrame, piece: int = PIECE, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per conversation, participant and piece.
 
@@ -39,18 +56,19 @@ def rotate_perspectives(turns: DataFrame, piece: int = PIECE, part_rows: int = P
     clean = turns.select(
         F.col("conv_id"),
         F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit(NO_ROLE)).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.translate(escaped(F.coalesce(F.col("role").cast("string"), F.lit(NO_ROLE))), "\r\n", "  ").alias("role"),
+        escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
     ).distinct()
     placed = clean.withColumn("piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-1)).cast("long"))
-    crowd = placed.groupBy("conv_id", "piece").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > part_rows)
-    crowd = crowd.select(F.col("conv_id").alias("c"), F.col("piece").alias("p"), "crowd")
-    parted = placed.join(crowd, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p")), "left").withColumn(
-        "part",
-        F.when(F.col("crowd").isNull(), 0)
-        .otherwise(F.pmod(F.xxhash64("turn", "role", "text"), F.ceil(F.col("crowd") / part_rows)))
-        .cast("int"),
+    crowd = checkpoint(
+        placed.groupBy("conv_id", "piece").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > part_rows)
+        .select(F.col("conv_id").alias("c"), F.col("piece").alias("p"))
     )
+    crowded = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p"))
+    parted = join_small(placed, crowd, crowded, "left_anti").withColumn("part", F.lit(0))
+    if not crowd.isEmpty():
+        numbered = number_rows(join_small(placed, crowd, crowded, "left_semi"), ["conv_id", "piece"], ["turn", "role", "text"])
+        parted = parted.unionByName(numbered.withColumn("part", F.floor((F.col("number") - 1) / part_rows).cast("int")).drop("number"))
     speakers = clean.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
     pieces = (
         parted.select("conv_id", "turn", "role", "text", "piece", "part")

@@ -150,28 +150,34 @@ FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-_OP10 = """
+_OP10 = f"""
 WITH said AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         coalesce(CAST(floor(turn / 256) AS BIGINT), -1) AS piece
+  SELECT DISTINCT conv_id, turn,
+         translate(regexp_replace(coalesce(role, 'unknown'), '<(\\\\*)\\|', '<\\\\\\1|', 'g'), chr(13) || chr(10), '  ') AS role,
+         regexp_replace(coalesce(text, ''), '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS text,
+         coalesce(CAST(floor(turn / {chat.PIECE}) AS BIGINT), -1) AS piece
   FROM conversations),
+parted AS (
+  SELECT *, CAST(CASE WHEN count(*) OVER (PARTITION BY conv_id, piece) > {chat.PART_ROWS} THEN
+      (row_number() OVER (PARTITION BY conv_id, piece ORDER BY turn NULLS FIRST, role, text) - 1) // {chat.PART_ROWS} ELSE 0 END AS INTEGER) AS part
+  FROM said),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'),
 heads AS (
   SELECT s.*, p.speaker,
          '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
                                 ELSE 'user name=' || role END || chr(10) AS head
-  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM parted s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, length(head) + length(text) + 11 AS n,
          coalesce(sum(length(head) + length(text) + 11) OVER (
-           PARTITION BY conv_id, speaker, piece ORDER BY turn NULLS FIRST, role, text
+           PARTITION BY conv_id, speaker, piece, part ORDER BY turn NULLS FIRST, role, text
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM heads)
-SELECT conv_id, speaker, piece, CAST(0 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS n_turns,
+SELECT conv_id, speaker, piece, part, CAST(count(*) AS INTEGER) AS n_turns,
        string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
        coalesce(string_agg(CASE WHEN role = speaker THEN CAST(begins + length(head) AS VARCHAR) || '-' || CAST(begins + n - 1 AS VARCHAR) END,
                            ',' ORDER BY turn NULLS FIRST, role, text), '') AS masks
-FROM placed GROUP BY conv_id, speaker, piece
+FROM placed GROUP BY conv_id, speaker, piece, part
 """
 
 #: Where a query is missing here, SQL can't express it: tests/llm holds it against a brute-force version.

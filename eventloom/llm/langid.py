@@ -176,7 +176,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 
 def _predict(texts: list[str], model: dict, penalty: float) -> pd.DataFrame:
     parts = [word_scores(t, model) for t in texts]
-    lengths = np.array([len(p[1]) for p in parts])
+    lengths = np.array([len(p[1]) for p in parts], np.int64)
     letters = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
     labels = viterbi(np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, 1)), lengths, penalty)
     text_of = np.repeat(np.arange(len(parts)), lengths)

@@ -26,7 +26,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_text(_table(spark, sf_dir, "pages"))
+    found = html_extract.extract_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", "n_chars", "decided.shared", "decided.put_back", "decided.named")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +18,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventloom.llm import bpe, html_extract, langid, queries, simhash, vector_topk
+from eventloom.llm import bpe, html_extract, langid, mixing, queries, simhash, vector_topk
+
+from near_brute import kept_by_brute_force  # noqa: I001
 
 SF = "/root/testdata/sf0.001"
 RANKS = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -88,13 +92,75 @@ def test_nearest_pages_cross_partitions(spark):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
 def test_shared_lines_are_a_longest_common_subsequence(a, b):
+    shared = html_extract.shared_lines(np.array(a, np.int64), np.array(b, np.int64))
+    own, rest = [x for x, s in zip(a, shared) if s], iter(b)
+    assert len(own) == brute_lcs(a, b) and all(x in rest for x in own)
+
+
+@pytest.mark.parametrize(("html", "lines"), [
+    ('<div class="layout has-sidebar"><article><p>A text</article></div>', ["A text"]), ('<main class="search-page"><p>B</main>', ["B"]),
+    ("<head><title>x</title><body><p>C", ["C"]), ("<head><title>x</title><p>C2", ["C2"]), ('<ul><li class="share">s<li>D item</ul>', ["D item"]),
+    ("<article><header><h1>E head</h1></header><p>E</article>", ["E head", "E"]), ("<!-- c --!><p>F", ["F"]), ('<div class="sidebar"><article>G</article></div>', ["G"]),
+    ('<section class="comments"><article>no</article></section><article>yes</article>', ["yes"]), ("<nav><article>no</article></nav>y", ["y"]),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", ["a b", "c"]), ('<dl><dt class="ad">x<dd>ok</dl>', ["ok"]), ('<div class="site-footer">no</div>y', ["y"]),
+])
+def test_html_markup(html, lines):
+    assert [t for r, t in html_extract.page_lines(html) if r != html_extract.CHROME] == lines
+
+
+def brute_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    shared = html_extract.shared_lines(np.array(a, np.int64), np.array(b, np.int64))
-    own, rest = [x for x, s in zip(a, shared) if s], iter(b)
-    assert len(own) == table[-1][-1] and all(x in rest for x in own)
+    return table[-1][-1]
+
+
+def test_html_query_matches_brute_force(spark):
+    """All pages: texts are the blocks of the article; counts of lines by what decided them."""
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    got = {r.page_id: r for r in queries.op3_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    lines = {i: html_extract.page_lines(h) for i, _, h in pages}
+    at = {i: re.match(r"\w+://([^/?#]*)([^?#]*)", u).groups() for i, u, _ in pages}
+    content = {i: tuple(t for _, t in own) for i, own in lines.items()}
+    stand = {}
+    for i, (host, path) in at.items():
+        stand[host, content[i]] = min(path, stand.get((host, content[i]), path))
+    first = {}
+    for i, url, h in pages:
+        if stand[at[i][0], content[i]] == at[i][1]:
+            key = hashlib.md5(f"{i}\n{url}\n{h}".encode()).hexdigest(), i
+            first[at[i]] = min(first.get(at[i], key), key)
+    common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    totals = defaultdict(int)
+    for i, _, h in pages:
+        article = re.search(r"<article>(.*?)</article>", h, re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", re.sub("<br[^>]*>", " ", b))).split()) for b in re.split(r"</?(?:p|h1|ul|li|div|table|tr)\b[^>]*>", article)]
+        assert got[i].text == "\n\n".join(filter(None, blocks)) and got[i].n_chars == len(got[i].text)
+        host = at[i][0]
+        own, ranked = stand[host, content[i]], sorted(p for x, p in first if x == host)
+        where = ranked.index(own)
+        near = [ranked[n] for n in (where - 1, where + 1) if 0 <= n < len(ranked)]
+        best = max(near, key=lambda p: common(own.split("/"), p.split("/")), default=None)
+        shared = brute_lcs(content[i], content[first[host, best][1]]) if best is not None else 0
+        assert got[i].shared == shared
+        chrome = sum(r == html_extract.CHROME or (r == html_extract.OTHER and any(x == html_extract.MAIN for x, _ in lines[i])) for r, _ in lines[i])
+        assert got[i].named == chrome - (shared - got[i].put_back)
+        totals["deleted by differencing"] += shared - got[i].put_back
+        totals["put back"] += got[i].put_back
+    assert min(totals.values()) > 0
+
+
+def test_long_alignments_are_halved(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 30, 300), rng.integers(0, 30, 280)
+    monkeypatch.setattr(html_extract, "BITS_KEPT", 50)
+    shared = html_extract.shared_lines(a, b)
+    rest = iter(b.tolist())
+    assert shared.sum() == brute_lcs(a.tolist(), b.tolist()) and all(x in rest for x in a[shared].tolist())
+    monkeypatch.undo()
+    long = rng.integers(0, 10**9, 30_000)
+    assert html_extract.shared_lines(long, np.delete(long, slice(0, 30_000, 3))).sum() == 20_000
 
 
 # ---- top-k
@@ -122,6 +188,21 @@ def test_top_k_matches_brute_force(spark):
     assert vector_topk.exact_top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_reads_few_exact_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 0.3, (4_000, 32)))] + [(10_001 + i, [0.5] * 32) for i in range(2_000)] + [(10_000, [0.5] * 32)] * 9
+    table, reads = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), []
+    got = sorted(map(tuple, vector_topk.exact_top_k(table, F.col("vec_id") % 1000 == 0, reads=reads).collect()))
+    whole = np.floor(256 * np.array([v for _, v in rows]))
+    ids = np.array([i for i, _ in rows])
+    want = []
+    for q in sorted({i for i in ids.tolist() if i % 1000 == 0}):
+        scores = whole @ whole[np.flatnonzero(ids == q)[0]]
+        own = sorted((-s, i) for s, i in zip(scores.astype(int).tolist(), ids.tolist()) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(own)]
+    assert got == want and sum(reads) < 0.1 * len(rows)
+
+
 # ---- simhash
 
 
@@ -181,139 +262,9 @@ def test_links_and_components_lose_nothing(spark, cap, monkeypatch):
     assert {p: got[signed(p)] for p in prints} == {p: want[ids[0]] for p, ids in groups.items()}
 
 
-def near_copy(words, changes, rng):
-    words = list(words)
-    for at in rng.sample(range(len(words)), changes):
-        words[at] = f"new{rng.getrandbits(30)}"
-    return words
-
-
-def test_near_copies_go_and_others_stay(spark):
-    rng = random.Random(7)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    rows = []
-    for i in range(60):
-        words = rng.choices(vocabulary, k=300)
-        rows.append((10 * i, " ".join(words)))
-        if i % 3 == 0:
-            rows.append((10 * i + 1, " ".join(near_copy(words, 3, rng))))  # similarity about 0.9
-        if i % 3 == 1:
-            rows.append((10 * i + 2, " ".join(near_copy(words, 60, rng))))  # far below 0.8
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, content string")
-    kept = simhash.drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if i % 10 != 1}
-
-
-def test_similarity_decides_near_the_threshold(spark):
-    """Pairs just above and just below 0.8; the index finds 0.9 of the first on average."""
-    rng, rows = random.Random(11), []
-    for i in range(80):
-        words = rng.choices([f"w{n}" for n in range(3000)], k=300)
-        changed = list(words)
-        for at in range(10, 290, 40)[: 6 + i % 2]:
-            changed[at] = f"new{rng.getrandbits(30)}"
-        own, other = (set(simhash.shingle_set(" ".join(w), 5).tolist()) for w in (words, changed))
-        assert (len(own & other) / len(own | other) >= 0.8) == (i % 2 == 0)
-        rows += [(10 * i, " ".join(words)), (10 * i + 1 + i % 2, " ".join(changed))]
-    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    gone = {i for i, _ in rows} - kept
-    assert all(i % 10 == 1 for i in gone) and len(gone) >= 0.8 * 40
-
-
-def kept_by_brute_force(rows):
-    """Ids that stay if all pairs of Jaccard similarity 0.8 are links."""
-    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
-    root = {i: i for i in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                low, high = sorted((root[a], root[b]))
-                root = {i: low if r == high else r for i, r in root.items()}
-    return {i for i, r in root.items() if i == r}
-
-
-def kept(spark, rows):
-    return {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-
-
-def test_repeated_lines_do_not_decide(spark):
-    """Different texts with one line 20 times stay; a text with its line 2 or 6 times is one text."""
-    rng, rows = random.Random(3), []
-    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
-    for i in range(0, 400, 10):
-        line, text = words(12), words(100)
-        if i % 20:
-            rows += [(i, f"{text} " + f"{line} " * 20), (i + 1, f"{words(100)} " + f"{line} " * 20)]
-        else:
-            rows += [(i, f"{line} " * 2 + text[:90]), (i + 1, f"{line} " * 6 + text[:90])]
-    want = kept_by_brute_force(rows)
-    assert len(want) == 60 and kept(spark, rows) == want
-
-
-@pytest.mark.parametrize("cap", [1, 64])
-def test_one_similarity_at_every_size(spark, cap, monkeypatch):
-    """Groups around one text, crowded or not: members above and below 0.8, and chains."""
-    monkeypatch.setattr(simhash, "CAP", cap)
-    monkeypatch.setattr(simhash, "BLOCK", 16)
-    rng, rows = random.Random(5), []
-    for i in range(0, 300, 100):
-        words = rng.choices([f"w{n}" for n in range(3000)], k=300)
-        for k in range(40):
-            changed = list(words)
-            for at in rng.sample(range(10, 290, 6), k % 10):
-                changed[at] = f"new{rng.getrandbits(30)}"
-            rows.append((i + (7 * k) % 40, " ".join(changed)))
-    assert kept(spark, rows) == kept_by_brute_force(rows)
-
-
-def test_no_pair_at_the_threshold_is_lost(spark):
-    rng, rows = random.Random(13), []
-    for i in range(0, 900, 10):
-        words = [f"w{rng.randrange(9000)}" for _ in range(300 if i % 20 else 9)]
-        changed = words[:8]
-        if i % 20:
-            changed = list(words)
-            for at in range(10, 250, 40):
-                changed[at] = f"new{rng.getrandbits(30)}"
-        rows += [(i, " ".join(words)), (i + 1, " ".join(changed))]
-    want = kept_by_brute_force(rows)
-    assert len(want) == 90 and kept(spark, rows) == want
-
-
-@pytest.mark.parametrize("listed", [0, 64])
-def test_balls_lose_nothing(listed, monkeypatch):
-    monkeypatch.setattr(simhash, "LISTED", listed)
-    rng = np.random.default_rng(listed)
-    for n_values in (3, 40, 500):
-        nodes = rng.permutation(10_000)[:300]
-        values = rng.choice(rng.integers(0, 64, n_values), 300)
-        sketches = rng.choice(rng.integers(0, 1 << 63, (60, 2), np.uint64), 300) ^ (np.uint64(1) << rng.integers(0, 63, (300, 2), np.uint64))
-        links = []
-        for flips, equal in (([1, 2, 4], True), ([8, 16, 32], False)):
-            a, b = simhash.ball_forest(nodes, values, sketches, flips, 4, equal)
-            assert len(a) < 300 and (a > b).all()
-            links += zip(a.tolist(), b.tolist())
-        near = lambda i, j: (values[i] ^ values[j]).bit_count() <= 1 and np.bitwise_count(sketches[i] ^ sketches[j]).sum() <= 4
-        want = [(nodes[i], nodes[j]) for i in range(300) for j in range(i) if near(i, j)]
-        assert want and component_sets(links, nodes.tolist()) == component_sets(want, nodes.tolist())
-
-
-def component_sets(links, nodes):
-    group = {n: {n} for n in nodes}
-    for a, b in links:
-        if group[a] is not group[b]:
-            group[a] |= group[b]
-            for n in group[b]:
-                group[n] = group[a]
-    return [group[n] for n in nodes]
-
-
 def test_simhash_odd_rows(odd_docs):
     got = {r.doc_id: r.component_id for r in simhash.simhash_components(odd_docs).collect()}
     assert got[1] == got[2] == got[9] == 1 and got[3] == got[4] == 3
-    assert simhash.drop_near_copies(odd_docs).columns == odd_docs.columns
-    assert simhash.drop_near_copies(odd_docs.limit(0)).count() == 0
 
 
 # ---- BPE
@@ -399,6 +350,56 @@ def test_viterbi_matches_brute_force():
         at += n
 
 
+def brute_language(text, model):
+    """Label words one by one in plain Python; language and share of the letters."""
+    mask, low = (1 << 64) - 1, (text or "").lower()
+    known = [ord(c) if c.isalpha() else 0 for c in low]
+    here, words = [0, 0, *known, 0], []
+    for i in range(len(low) + 1):
+        inside, before = i < len(low) and known[i], i > 0 and known[i - 1]
+        if inside or before:
+            a, b, c = here[i], here[i + 1], here[i + 2]
+            bucket = ((a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) * 0x9E3779B97F4A7C15 & mask) >> 48
+            if inside and not before:
+                script = next(n for start, n in reversed(langid.SCRIPT_STARTS) if ord(low[i]) >= start)
+                words.append([np.where(model["uses"][langid.SCRIPTS.index(script)], 0.0, -1e6), 0, 0])
+            words[-1][0] = words[-1][0] + model["logs"][bucket]
+            words[-1][1] += bool(inside)
+    best, back = None, []
+    for scores, *_ in words:
+        if best is None:
+            best = scores
+        else:
+            top = int(best.argmax())
+            back.append([x if best[x] >= best[top] - langid.SWITCH_PENALTY else top for x in range(len(best))])
+            best = np.array([best[came] - (langid.SWITCH_PENALTY if came != x else 0) for x, came in enumerate(back[-1])]) + scores
+    if best is None:
+        return "und", 0.0
+    path = [int(best.argmax())]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    letters = np.bincount(path[::-1], [n for _, n, _ in words], len(model["langs"]))
+    return model["langs"][letters.argmax()], letters.max() / letters.sum()
+
+
+def test_language_query_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs.where(~langid.held_out()))
+    rows = {r.doc_id: r for r in queries.op9_language_id(spark, SF).collect()}
+    for r in docs.where("length(text) < 4000 OR text IS NULL").collect():
+        lang, score = brute_language(r.text, model)
+        assert rows[r.doc_id].lang_pred == lang and abs(rows[r.doc_id].score - score) < 1e-6
+
+
+def test_language_batches_are_cut(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs)
+    texts = [r.text for r in docs.select("text").collect()]
+    whole = langid._in_parts(texts, model, 8.0)
+    monkeypatch.setattr(langid, "PART", 500)
+    assert langid._in_parts(texts, model, 8.0).equals(whole) and len(langid._in_parts([], model, 8.0)) == 0
+
+
 # ---- pipeline
 
 
@@ -418,8 +419,19 @@ def test_pipeline_stages(spark, tmp_path):
     for i in sorted(letters):
         texts["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in kept[i].text)].append(i)
     assert sorted(ids["exact_dedup"]) == sorted(v[0] for v in texts.values())
-    assert set(ids["near_dedup"]) <= set(ids["exact_dedup"]) and len(ids["near_dedup"]) > 0.8 * len(ids["exact_dedup"])
+    assert set(ids["near_dedup"]) == kept_by_brute_force([(i, kept[i].text) for i in ids["exact_dedup"]])
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", kept[i].text)) for i in ids["near_dedup"]}
+    targets = {(r.doc_id): r for r in mixing.mix_report(spark.read.parquet(f"{tmp_path}/near_dedup"), seed=17).collect()}
+    assert {i: ids["mixing"].count(i) * n for i, n in sizes.items()} == {i: r.taken for i, r in targets.items()}
     last = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.doc_id for r in last) == sorted(ids["mixing"])
     for r in last:
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == expect(kept[r.doc_id].text)
+
+
+def test_pipeline_odd_tables(spark, tmp_path, odd_docs):
+    """Nulls, repeated rows, long texts, clashing columns, and an empty table go through all stages."""
+    for name, docs in (("odd", odd_docs), ("none", odd_docs.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in rows} <= {1, 5, 8, None} and bool(rows) == (name == "odd")

@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,23 +261,24 @@ def kept_lines(regions: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, dic
 
 def _parsed(with_text: bool):
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor().compress
         for batch in batches:
             pages = [page_lines(html or "") for html in batch]
             hashes = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for _, t in p] for p in pages]
             if not with_text:
                 yield pd.Series(hashes)
             else:
-                # Lines that are never text travel as their hashes only.
+                # Lines that are never text travel as their hashes only, the others compressed.
                 yield pd.DataFrame(
                     {
-                        "lines": [[t if r != CHROME else "" for r, t in p] for p in pages],
+                        "lines": [pack("\n".join(t if r != CHROME else "" for r, t in p).encode("utf-8", "surrogatepass")) for p in pages],
                         "regions": [[r for r, _ in p] for p in pages],
                         "hashes": hashes,
                     }
                 )
         release_memory()
 
-    kind = "lines array<string>, regions array<int>, hashes array<bigint>" if with_text else "array<bigint>"
+    kind = "lines binary, regions array<int>, hashes array<bigint>" if with_text else "array<bigint>"
     return F.pandas_udf(parse, kind)
 
 
@@ -285,7 +287,8 @@ def _texts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         rows = []
         for t, r, h, o in zip(lines, regions, hashes, others):
             keep, decided = kept_lines(np.asarray(r, int), shared_lines(np.asarray(h, np.int64), np.asarray([] if o is None else o, np.int64)))
-            rows.append({"text": "\n\n".join(line for line, kept in zip(t, keep) if kept), "decided": decided})
+            own = zstandard.decompress(t).decode("utf-8", "surrogatepass").split("\n")
+            rows.append({"text": "\n\n".join(line for line, kept in zip(own, keep) if kept), "decided": decided})
         yield pd.DataFrame(rows, columns=["text", "decided"])
     release_memory()
 

@@ -1,7 +1,8 @@
 """The event-log queries over the driver's `events` table, and their SQL twins.
 
 `events` becomes a log: svc-0 to svc-4 by user, sequence numbers from 1 on, properties
-as payload. Contracts, cursors and manifest actions are small inline tables.
+as payload. Contracts and cursors are small inline tables. The `log_` queries and `kv_put_get`
+write all rows to a durable log in the shared folder and read them from it.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import codec
 from eventloom.operators import contracts, merge, scan, sequences, stats
-from eventloom.plans import manifest, recovery
+from eventloom.plans import recovery
+from eventloom.sources.event_log import EventLog
+from eventloom.storage import new_path
 
 IDENTITY = "svc-0"
 CONTRACTS = [("svc-1", "click"), ("svc-1", "view"), ("svc-2", "error"), ("svc-9", "click")]
 CURSORS = [("svc-1", "click", 5000), ("svc-2", "error", 9000), ("svc-3", "view", 10)]
-ACTIONS = [(1, 1, "ADD"), (2, 2, "ADD"), (3, 3, "ADD"), (4, 1, "DEL"), (4, 2, "DEL"), (4, 4, "ADD")]
 A_KEY = "evt:svc-1:click:00000000000013a5"
 
 
@@ -40,10 +42,6 @@ def _cursors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*c, "peer:1", 7) for c in CURSORS], "source_service string, event_type string, last_sequence long, peer_address string, updated_at long")
 
 
-def _actions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ACTIONS, "version long, id long, action string")
-
-
 def _runs(spark, d):
     return log(spark, d).withColumn("run_id", F.floor((F.col("sequence") - 1) / 1000))
 
@@ -63,6 +61,32 @@ def _coded(spark, d):
     return codec.decode_events(mixed)
 
 
+def _durable(spark, d):
+    """The log with an event type that is empty for every seventh event, written once and sent again."""
+    events = log(spark, d).withColumn("event_type", F.when(F.col("sequence") % 7 == 0, "").otherwise(F.col("event_type")))
+    store = EventLog(spark, new_path(spark, "log"))
+    store.append(events)
+    store.ingest(events.withColumn("payload", F.lit("again")))
+    return store.events().select("key", "sequence", "event_type", "payload", "timestamp", "origin_service")
+
+
+def _batches(spark, d):
+    """Five writes to a log: the first four become one batch of the next level."""
+    store = EventLog(spark, new_path(spark, "log"))
+    for n in range(5):
+        store.append(log(spark, d).where(F.col("sequence") % 5 == n))
+    return store.batches().groupBy("level").agg(F.count(F.lit(1)).alias("batches"), F.sum("rows").alias("num_entries"))
+
+
+def _values(spark, d):
+    """Values of free-form keys, written in two batches."""
+    rows = log(spark, d).select(F.col("bk").alias("key"), F.lpad(F.col("sequence").cast("string"), 12, "0").alias("value"), "sequence")
+    store = EventLog(spark, new_path(spark, "log"))
+    for rest in (1, 0):
+        store.put_values(rows.where(F.col("sequence") % 2 == rest))
+    return store.scan_values("svc-1:")
+
+
 QUERIES = {
     "query_events": lambda s, d: scan.query_events(log(s, d), "svc-1", "click", 700).select("key", "sequence", "timestamp", "payload"),
     "scan_prefix": lambda s, d: scan.scan_prefix(log(s, d), "evt:svc-1:click:").select("key", "sequence"),
@@ -86,15 +110,16 @@ QUERIES = {
     "recovery_pull_limited": lambda s, d: recovery.recovery_pull(_plan(s), log(s, d), 5).select("key", "sequence"),
     "cursor_advance": lambda s, d: recovery.advanced_cursors(recovery.recovery_pull(_plan(s), log(s, d)), _plan(s), 9).select("source_service", "event_type", "last_sequence"),
     "sst_stats": lambda s, d: stats.run_stats(_runs(s, d)),
-    "size_bytes": lambda s, d: stats.size_bytes(log(s, d)),
+    "payload_bytes": lambda s, d: stats.payload_bytes(log(s, d)),
     "store_stats": lambda s, d: stats.store_stats(log(s, d)),
-    "wal_offsets": lambda s, d: stats.log_offsets(log(s, d)),
+    "running_payload": lambda s, d: stats.running_payload(log(s, d)),
     "system_keys": lambda s, d: log(s, d).select("key").union(_cursors(s).select(codec.cursor_key())).where(codec.is_system_key()),
     "cursor_codec": lambda s, d: codec.events_as_cursors(codec.cursors_as_events(_cursors(s), IDENTITY)),
     "codec_round_trip": lambda s, d: codec.valid_events(_coded(s, d)).select("sequence", "timestamp", "origin_service", "event_type", "payload"),
     "corrupt_rows": lambda s, d: codec.corrupt_rows(_coded(s, d)).groupBy("value").agg(F.count(F.lit(1)).alias("n")),
-    "manifest_fold": lambda s, d: manifest.fold(_actions(s)),
-    "manifest_levels": lambda s, d: manifest.count_by_level(manifest.fold(_actions(s)).withColumn("level", (F.col("id") == 4).cast("int"))),
+    "log_round_trip": _durable,
+    "log_batches": _batches,
+    "kv_put_get": _values,
 }
 
 _VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
@@ -110,18 +135,13 @@ log AS (
   FROM base),
 contracts(source_service, event_type) AS (VALUES {_VALUES(CONTRACTS)}),
 crumbs(source_service, event_type, last_sequence) AS (VALUES {_VALUES(CURSORS)}),
-actions(version, id, action) AS (VALUES {_VALUES(ACTIONS)}),
 plan AS (
   SELECT source_service, event_type, CAST(coalesce(last_sequence + 1, 0) AS BIGINT) AS from_sequence
   FROM contracts LEFT JOIN crumbs USING (source_service, event_type)),
 pulled AS (
-  SELECT l.* FROM log l JOIN plan p ON l.origin_service = p.source_service AND l.event_type = p.event_type AND l.sequence >= p.from_sequence),
-live AS (
-  SELECT * FROM actions a WHERE action = 'ADD' AND NOT EXISTS (
-    SELECT 1 FROM actions d WHERE d.action = 'DEL' AND d.id = a.id AND d.version >= a.version))
+  SELECT l.* FROM log l JOIN plan p ON l.origin_service = p.source_service AND l.event_type = p.event_type AND l.sequence >= p.from_sequence)
 """
 _STREAM = "origin_service = 'svc-1' AND event_type = 'click' AND sequence >= 700"
-_MEMORY = "CAST(sum(strlen(key) + strlen(event_type) + strlen(payload) + strlen(origin_service) + 64) AS BIGINT) AS size_bytes"
 _IN_CONTRACT = "EXISTS (SELECT 1 FROM contracts c WHERE c.source_service = origin_service AND c.event_type = log.event_type)"
 _NEWEST = "SELECT bk, sequence FROM log QUALIFY row_number() OVER (PARTITION BY bk ORDER BY sequence {}) = 1"
 
@@ -152,16 +172,22 @@ ORACLE_SQL = {
         "cursor_advance": "SELECT origin_service AS source_service, event_type, max(sequence) AS last_sequence FROM pulled GROUP BY 1, 2",
         "sst_stats": """SELECT (sequence - 1) // 1000 AS run_id, min(key) AS min_key, max(key) AS max_key, min(sequence) AS min_seq,
             max(sequence) AS max_seq, count(*) AS num_entries FROM log GROUP BY 1""",
-        "size_bytes": f"SELECT origin_service, {_MEMORY} FROM log GROUP BY 1",
-        "store_stats": f"SELECT count(*) AS num_entries, count(DISTINCT key) AS num_keys, {_MEMORY} FROM log",
-        "wal_offsets": "SELECT sequence, CAST(sum(25 + strlen(key) + strlen(coded)) OVER (ORDER BY sequence) AS BIGINT) AS end_offset FROM log",
+        "payload_bytes": """SELECT origin_service, event_type, count(*) AS num_entries, CAST(sum(strlen(payload)) AS BIGINT) AS payload_bytes
+            FROM log GROUP BY 1, 2""",
+        "store_stats": "SELECT count(*) AS num_entries, count(DISTINCT key) AS num_keys, CAST(sum(strlen(payload)) AS BIGINT) AS payload_bytes FROM log",
+        "running_payload": """SELECT origin_service, event_type, sequence,
+            CAST(sum(strlen(payload)) OVER (PARTITION BY origin_service, event_type ORDER BY sequence) AS BIGINT) AS bytes_so_far FROM log""",
         "system_keys": "SELECT key FROM (SELECT key FROM log UNION ALL SELECT '_bc:' || source_service || ':' || event_type FROM crumbs) WHERE starts_with(key, '_bc:')",
         "cursor_codec": """SELECT source_service, event_type, CAST(last_sequence AS BIGINT) AS last_sequence, 'peer:1' AS peer_address,
             CAST(7 AS BIGINT) AS updated_at FROM crumbs""",
         "codec_round_trip": "SELECT sequence, timestamp, origin_service, event_type, payload FROM log WHERE sequence % 100 > 1",
         "corrupt_rows": """SELECT CASE sequence % 100 WHEN 0 THEN '1|100|1|svc|a|b|x' ELSE 'bad' END AS value, count(*) AS n
             FROM log WHERE sequence % 100 <= 1 GROUP BY 1""",
-        "manifest_fold": "SELECT CAST(version AS BIGINT) AS version, CAST(id AS BIGINT) AS id, action FROM live",
-        "manifest_levels": "SELECT CAST(CASE WHEN id = 4 THEN 1 ELSE 0 END AS INTEGER) AS level, count(*) AS runs FROM live GROUP BY 1",
+        "log_round_trip": """SELECT 'evt:' || origin_service || ':' || kind || ':' || printf('%016x', sequence) AS key, sequence, kind AS event_type,
+            payload, timestamp, origin_service FROM (SELECT *, CASE WHEN sequence % 7 = 0 THEN '' ELSE event_type END AS kind FROM log)""",
+        "log_batches": """SELECT CAST(CASE WHEN sequence % 5 = 4 THEN 0 ELSE 1 END AS INTEGER) AS level, CAST(1 AS BIGINT) AS batches,
+            count(*) AS num_entries FROM log GROUP BY 1""",
+        "kv_put_get": """SELECT bk AS key, printf('%012d', sequence) AS value FROM log WHERE starts_with(bk, 'svc-1:')
+            QUALIFY row_number() OVER (PARTITION BY bk ORDER BY sequence % 2, sequence DESC) = 1""",
     }.items()
 }

@@ -34,20 +34,21 @@ def encode_event() -> Column:
     return F.concat_ws("|", "sequence", "timestamp", F.octet_length("payload"), "origin_service", "event_type", "payload")
 
 
-def _integer(text: Column) -> Column:
-    """A number without blanks around it, or null."""
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+def _integer(text: Column, signed: bool = False) -> Column:
+    """A number of digits only, or null; a sign may stand before it if `signed`."""
+    return F.when(text.rlike(r"\A[+-]?[0-9]+\z" if signed else r"\A\+?[0-9]+\z"), text.try_cast("bigint"))
 
 
 def decode_events(rows: DataFrame, value: str = "value") -> DataFrame:
     """Add the fields of an encoded event and `valid`.
 
-    A row is valid if it has all fields, whole numbers, and a payload of the stated bytes.
+    A row is valid if it has all fields, whole numbers (only the timestamp may be negative), and a
+    payload of the stated bytes.
     """
     part = lambda n: F.get(F.split(F.col(value), r"\|", 6), n)
     decoded = rows.select(
         "*",
-        _integer(part(0)).alias("sequence"), _integer(part(1)).alias("timestamp"), _integer(part(2)).alias("payload_bytes"),
+        _integer(part(0)).alias("sequence"), _integer(part(1), signed=True).alias("timestamp"), _integer(part(2)).alias("payload_bytes"),
         part(3).alias("origin_service"), part(4).alias("event_type"), part(5).alias("payload"),
     )
     whole = F.col("sequence").isNotNull() & F.col("timestamp").isNotNull() & (F.octet_length("payload") == F.col("payload_bytes"))
@@ -87,27 +88,3 @@ def events_as_cursors(keyed: DataFrame) -> DataFrame:
     return keyed.where(is_system_key() & (F.size(rest) == 2)).select(
         F.get(rest, 0).alias("source_service"), F.get(rest, 1).alias("event_type"), *decode_cursor(), F.col("timestamp").alias("updated_at")
     )
-
-
-def entry_bytes(key="key", value="value") -> Column:
-    """Size of a log entry: four numbers, key, value and a line end."""
-    return F.octet_length(_col(key)) + F.octet_length(_col(value)) + F.lit(25)
-
-
-def memory_bytes(key="key") -> Column:
-    """Estimated size of an event in memory."""
-    return sum((F.octet_length(_col(c)) for c in ("event_type", "payload", "origin_service")), F.octet_length(_col(key))) + F.lit(64)
-
-
-def run_name(base: str, level="level", run_id="id") -> Column:
-    return F.format_string(f"{base}_L%d_%08d.sst", _col(level), _col(run_id))
-
-
-def log_base(path="path") -> Column:
-    return F.regexp_replace(_col(path), r"\.wal$", "")
-
-
-def manifest_line() -> Column:
-    """One action of a manifest as text."""
-    added = F.concat_ws(" ", F.lit("ADD"), "version", "id", "level", "num_entries", "min_seq", "max_seq", "file_size", "min_key", "max_key")
-    return F.when(F.col("action") == "ADD", added).otherwise(F.concat_ws(" ", F.lit("DEL"), "version", "id"))

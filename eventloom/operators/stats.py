@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.codec import encode_event, entry_bytes, memory_bytes
+from eventloom.storage import checkpoint, join_small
 
 
 def max_sequence(events: DataFrame) -> DataFrame:
@@ -23,32 +23,35 @@ def run_stats(keyed: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
-def size_bytes(keyed: DataFrame) -> DataFrame:
-    """Per origin the estimated size in memory."""
-    return keyed.groupBy("origin_service").agg(F.sum(memory_bytes()).cast("long").alias("size_bytes"))
+def payload_bytes(events: DataFrame) -> DataFrame:
+    """Per origin and type the events and the bytes of their payloads."""
+    return events.groupBy("origin_service", "event_type").agg(
+        F.count(F.lit(1)).alias("num_entries"), F.sum(F.octet_length("payload")).cast("long").alias("payload_bytes")
+    )
 
 
 def store_stats(keyed: DataFrame) -> DataFrame:
-    """One row: rows, distinct keys and bytes."""
+    """One row: rows, distinct keys and bytes of payloads."""
     return keyed.agg(
         F.count(F.lit(1)).alias("num_entries"), F.count_distinct("key").alias("num_keys"),
-        F.coalesce(F.sum(memory_bytes()), F.lit(0)).cast("long").alias("size_bytes"),
+        F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("payload_bytes"),
     )
 
 
-def log_offsets(keyed: DataFrame, chunk: int = 4096) -> DataFrame:
-    """Byte offset behind each entry of one log in sequence order.
+def running_payload(events: DataFrame, chunk: int = 4096) -> DataFrame:
+    """Per event the bytes of its stream's payloads up to it, by sequence.
 
-    Running sums within chunks of sequence numbers are added to the sums of the chunks
-    before, so that no task sorts the whole log; the second step has one row per chunk.
+    Running sums within chunks of sequence numbers are added to the sums of the stream's
+    chunks before, of which there is one row each, so that no task sorts a whole stream.
     """
-    part = F.floor(F.col("sequence") / chunk)
-    sized = keyed.select("sequence", part.alias("chunk"), entry_bytes("key", encode_event()).cast("long").alias("bytes"))
-    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.groupBy("chunk").agg(F.sum("bytes").alias("chunk_bytes")).select(
-        "chunk", F.coalesce(F.sum("chunk_bytes").over(before), F.lit(0)).alias("start")
+    stream = ["origin_service", "event_type"]
+    sized = events.select(*stream, "sequence", F.floor(F.col("sequence") / chunk).alias("chunk"), F.octet_length("payload").cast("long").alias("bytes"))
+    before = Window.partitionBy(*stream).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = checkpoint(
+        sized.groupBy(*stream, "chunk").agg(F.sum("bytes").alias("chunk_bytes"))
+        .select(*stream, "chunk", F.coalesce(F.sum("chunk_bytes").over(before), F.lit(0)).alias("start"))
     )
-    within = Window.partitionBy("chunk").orderBy("sequence")
-    return sized.withColumn("own", F.sum("bytes").over(within)).join(starts, "chunk").select(
-        "sequence", (F.col("start") + F.col("own")).cast("long").alias("end_offset")
+    within = Window.partitionBy(*stream, "chunk").orderBy("sequence")
+    return join_small(sized.withColumn("own", F.sum("bytes").over(within)), starts, [*stream, "chunk"]).select(
+        *stream, "sequence", (F.col("start") + F.col("own")).cast("long").alias("bytes_so_far")
     )

@@ -1 +1 @@
-"""Plans made of several operators: recovery and run manifests."""
+"""Plans made of several operators: recovery."""

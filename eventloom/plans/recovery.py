@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.contracts import explode_contracts
+from eventloom.operators.contracts import FEW, any_of, explode_contracts
+from eventloom.storage import join_small
 
 
 def recovery_plan(pairs: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -26,22 +27,31 @@ def plan_for(contracts: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def recovery_pull(plan: DataFrame, log: DataFrame, max_count: int = 0) -> DataFrame:
-    """The events that the tasks of a plan ask of a log; `max_count` 0 means all of each task."""
+    """The events that the tasks of a plan ask of a log; `max_count` 0 means all of each task.
+
+    A plan has a few tasks, so their streams and starts are a condition that reaches the scan.
+    With more than `FEW` the tasks are joined, broadcast if their size allows.
+    """
     tasks = plan.select(F.col("source_service").alias("origin_service"), "event_type", "from_sequence")
+    wanted = tasks.groupBy("origin_service", "event_type").agg(F.min("from_sequence").alias("from_sequence"))
+    rows = wanted.take(FEW + 1)
+    if len(rows) <= FEW:
+        found = log.where(any_of([
+            (F.col("origin_service") == origin) & (F.col("event_type") == event_type) & (F.col("sequence") >= start) for origin, event_type, start in rows
+        ]))
+    else:
+        found = join_small(log, wanted, ["origin_service", "event_type"]).where("sequence >= from_sequence").select(*log.columns)
     if not max_count:
-        wanted = tasks.groupBy("origin_service", "event_type").agg(F.min("from_sequence").alias("from_sequence"))
-        found = log.join(wanted, ["origin_service", "event_type"]).where("sequence >= from_sequence")
-        return found.select(*log.columns)
-    from pyspark.sql import Window
-
+        return found
     order = Window.partitionBy("origin_service", "event_type").orderBy("sequence")
-    return (
-        recovery_pull(plan, log).withColumn("pull_rank", F.row_number().over(order)).where(F.col("pull_rank") <= max_count).drop("pull_rank")
-    )
+    return found.withColumn("pull_rank", F.row_number().over(order)).where(F.col("pull_rank") <= max_count).drop("pull_rank")
 
 
 def advanced_cursors(pulled: DataFrame, plan: DataFrame, now: int) -> DataFrame:
-    """Cursors after a pull: the highest sequence seen of each stream that had rows."""
+    """Cursors after a pull: the highest sequence of each stream that had rows in `pulled`.
+
+    With what a peer sent these are the highest seen, with what the log kept the highest ingested.
+    """
     seen = pulled.groupBy(F.col("origin_service").alias("source_service"), "event_type").agg(F.max("sequence").alias("last_sequence"))
     peers = plan.groupBy("source_service", "event_type").agg(F.min("peer_address").alias("peer_address"))
     return seen.join(peers, ["source_service", "event_type"]).select(

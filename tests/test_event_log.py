@@ -1,16 +1,18 @@
 """Operators, codecs, the durable log, recovery and the streaming pull."""
 
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from eventloom import catalog
+from eventloom import catalog, service
 from eventloom.functions import codec
 from eventloom.model import CURSOR_SCHEMA, EVENT_SCHEMA, Contract, EventError, ServiceIdentity
-from eventloom.operators import merge, scan
-from eventloom.plans import manifest, recovery
+from eventloom.operators import contracts, merge, scan
+from eventloom.operators.sequences import number_rows
+from eventloom.plans import recovery
 from eventloom.sources.config import load_config, parse_address, parse_config
 from eventloom.sources.event_log import EventLog
 from eventloom.streaming.pull import ingest_batch, start_pull
@@ -70,18 +72,55 @@ def test_overwrite_compaction_and_restart(spark, store):
         assert {r.sequence: r.payload for r in again.events().collect()} == {1: "second", 2: "kept"}
         store.compact()
         store.vacuum()
-    assert len(store._state()["batches"]) == 1 and store.stats().first().num_keys == 2
+    assert store.batches().count() == 1 and store.stats().first().num_keys == 2
     store.destroy()
     assert store.events().count() == 0
 
 
 def test_empty_fields_pipes_and_bad_names(spark, store):
-    store.append(events(spark, [("a", "", 1, ""), ("a", "t", 2, "a|b|c"), ("a", "t", 3, "né|é"), ("a", "t", 2**62, "big")]))
-    assert {r.payload for r in store.events().collect()} == {"", "a|b|c", "né|é", "big"}
+    table = events(spark, [("a", "", 1, ""), ("", "t", 1, "x"), ("", "", 5, "y"), ("a", "t", 2, "a|b|c"), ("a", "t", 3, "né|é"), ("a", "t=/%", 2**62, "big")])
+    store.append(table)
+    got = store.events()
+    assert sorted(map(tuple, got.select(*table.columns).collect())) == sorted(map(tuple, table.collect()))
+    assert got.where("event_type = '' AND origin_service = 'a'").first().key == "evt:a::0000000000000001"
+    for origin, event_type, n in (("a", "", 1), ("", "t", 1), ("", "", 1), ("a", "t", 2), ("a", "t=/%", 1)):
+        assert store.query_events(origin, event_type).count() == n
+    anyone = EventLog(spark, store.path)
+    assert anyone.ingest(table)["inserted"] == 0 and anyone.versions().count() == 6
+    assert store.get("evt:a::0000000000000001").count() == 1 and store.scan_prefix("evt:::").count() == 1
     for bad in ([("a:b", "t", 1, "")], [("a", "t|u", 1, "")], [("a", "t", -1, "")]):
         with pytest.raises(EventError):
             store.append(events(spark, bad))
-    assert store.events().count() == 4
+    assert store.events().count() == 6
+
+
+def test_levels_of_batches(spark, store):
+    for n in range(17):
+        store.append(events(spark, [("a", "t", 1, f"{n}"), ("a", "t", 2 + n, "x")]))
+    assert sorted((r.level, r.rows) for r in store.batches().collect()) == [(0, 2), (2, 17)]
+    assert store.get("evt:a:t:0000000000000001").first().payload == "16" and store.stats().first().num_entries == 18
+    store.vacuum()
+    assert store.events().count() == 18 and EventLog(spark, store.path).versions().count() == 19
+
+
+def test_free_form_keys(spark, store):
+    rows = lambda *r: spark.createDataFrame(list(r), "key string, value string")
+    assert store.values().count() == 0
+    store.put_values(rows(("user:1", "a"), ("user:2", "b"), ("edge:-_.@", "c"), ("", "empty")))
+    store.put_values(rows(("user:1", "newer"), ("user:10", "d"), ("user:10", "c")))
+    store.append(events(spark, [("a", "t", 1, "x")]))
+    assert [tuple(r) for r in store.scan_values("user:").collect()] == [("user:1", "newer"), ("user:10", "d"), ("user:2", "b")]
+    assert store.get_value("edge:-_.@").first().value == "c" and store.get_value("").count() == 1 and store.get_value("no").count() == 0
+    store.vacuum()
+    assert store.values().count() == 5 and store.events().count() == 1
+
+
+def test_unfinished_version_is_not_read(spark, store):
+    store.append(events(spark, [("a", "t", 1, "x")]))
+    (pathlib.Path(store.path) / "versions" / "000000000002.json").write_text('{"batches": [')
+    assert store.events().count() == 1
+    with pytest.raises(EventError, match="another writer"):
+        store.append(events(spark, [("a", "t", 2, "x")]))
 
 
 def test_ingest_rules(spark, store):
@@ -137,6 +176,20 @@ def test_recovery_from_peers(spark, store, tmp_path):
     assert store.get_cursor("order-service", "order.created").first().last_sequence == 2
     assert store.recover({"10.0.0.1:5": peer})["10.0.0.1:5"]["pulled"] == 0
     assert seqs(peer.serve("order.created", 2)) == [2]
+    peer.append(events(spark, [("order-service", "order.created", 3, "3")]))
+    for part in (pathlib.Path(peer.path) / "data").rglob("*.parquet"):
+        part.write_bytes(b"broken")
+    assert store.recover({"10.0.0.1:5": peer}) == {"10.0.0.1:5": None}
+    assert store.get_cursor("order-service", "order.created").first().last_sequence == 2
+
+
+def test_highest_ingested(spark, store):
+    batch = events(spark, [("order-service", "order.created", 4, "x"), ("order-service", "order.deleted", 9, "no")])
+    at = cursors(spark, [("order-service", "order.created", 7), ("order-service", "order.deleted", 9)])
+    store.ingest(batch, at, highest_ingested=True)
+    assert [(r.event_type, r.last_sequence) for r in store.cursors().collect()] == [("order.created", 4)]
+    store.ingest(batch, at)
+    assert store.get_cursor("order-service", "order.created").first().last_sequence == 7
 
 
 def test_streaming_pull_is_idempotent(spark, store, tmp_path):
@@ -161,7 +214,8 @@ def test_codecs(spark):
     assert codec.valid_events(decoded).select(*table.columns).exceptAll(table).count() == 0
     assert codec.valid_events(decoded).count() == 3 and codec.corrupt_rows(decoded).count() == 5
     assert table.select(codec.event_key()).first()[0] == "evt:svc:t:0000000000000007"
-    assert spark.range(1).select(codec.run_name("base", F.lit(1), F.lit(7)), codec.log_base(F.lit("x/base.wal"))).first()[:] == ("base_L1_00000007.sst", "x/base")
+    strict = spark.createDataFrame([("7\n|1|0|s|t|",), ("-5|1|0|s|t|",), ("5|1|-0|s|t|",), ("5|-1|0|s|t|",)], "value string")
+    assert [r.valid for r in codec.decode_events(strict).collect()] == [False, False, False, True]
 
 
 def test_merge_prefers_newer_runs(spark):
@@ -169,12 +223,60 @@ def test_merge_prefers_newer_runs(spark):
     assert {r.key: r.sequence for r in merge.merge_runs(merge.union_runs(runs)).collect()} == {"a": 1, "b": 20, "c": 3, "d": 40}
 
 
-def test_manifest(spark):
-    actions = spark.createDataFrame([(1, 1, "ADD"), (2, 2, "ADD"), (3, 3, "ADD"), *[(4, i, "DEL") for i in (1, 2, 3)], (4, 4, "ADD")], "version long, id long, action string")
-    assert [r.id for r in manifest.fold(actions).collect()] == [4]
-    runs = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "id long, level int")
-    assert [r.id for r in manifest.live_order(runs).collect()] == [3, 1, 2]
-    assert manifest.ids_at_level(runs, 0).count() == 2
+def test_number_rows_across_partitions(spark):
+    rows = [(k % 3 if k % 3 else None, (k * 7919) % 5003, k) for k in range(5000)]
+    got = number_rows(spark.createDataFrame(rows, "k long, at long, id long"), ["k"], ["at"])
+    assert got.columns == ["k", "at", "id", "number"]
+    for key in (None, 1, 2):
+        own = sorted((r.at, r.number) for r in got.collect() if r.k == key)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert number_rows(spark.createDataFrame([], "k long, at long"), ["k"], ["at"]).count() == 0
+
+
+def plan_of(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_log_plans(spark, store, tmp_path):
+    """Lookups prune partitions and push sequences; batches are one scan; contracts and tasks shuffle nothing."""
+    for n in range(3):
+        store.append(events(spark, [("a", "t", n, "x"), ("b", "u", n, "y")]))
+    for found in (plan_of(store.get("evt:a:t:0000000000000001")), plan_of(store.query_events("a", "t", 1))):
+        assert found.count("FileScan") == 1 and "origin_part#" in found.split("PartitionFilters")[1].split("PushedFilters")[0]
+        assert "(sequence,1)" in found.split("PushedFilters")[1]
+    path = str(tmp_path / "flat")
+    store.events().write.parquet(path)
+    flat, pairs = spark.read.parquet(path), spark.createDataFrame([("a", "t", "p")], "source_service string, event_type string, peer_address string")
+    for df in (contracts.authorize(flat, pairs, "me"), contracts.reject(flat, pairs, "me"), recovery.recovery_pull(recovery.recovery_plan(pairs, store.cursors()), flat)):
+        text = plan_of(df)
+        assert "Exchange" not in text and "origin_service" in text.split("PushedFilters")[1]
+    text = plan_of(scan.point_get(flat, "evt:a:t:0000000000000001"))
+    assert "EqualTo(sequence,1)" in text and "EqualTo(event_type,t)" in text
+    found = scan.contains(flat, spark.createDataFrame([("evt:a:t:0000000000000001",), ("evt:a:t:0000000000000009",)], "key string"))
+    assert sorted(map(tuple, found.collect())) == [("evt:a:t:0000000000000001", True), ("evt:a:t:0000000000000009", False)]
+
+
+def test_many_contracts_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(contracts, "FEW", 1)
+    monkeypatch.setattr(recovery, "FEW", 1)
+    table = events(spark, [("a", "t", 1, "x"), ("b", "t", 2, "y"), ("c", "t", 3, "z"), ("me", "t", 4, "w")])
+    pairs = spark.createDataFrame([("a", "t", "p"), ("b", "t", "p"), (None, "t", "p")], "source_service string, event_type string, peer_address string")
+    assert sorted(seqs(contracts.authorize(table, pairs, "me"))) == [1, 2, 4] and seqs(contracts.reject(table, pairs, "me")) == [3]
+    plan = pairs.dropna().withColumn("from_sequence", F.lit(2).cast("long"))
+    assert seqs(recovery.recovery_pull(plan, table)) == [2]
+
+
+def test_service(spark, tmp_path):
+    peer = EventLog(spark, str(tmp_path / "peer"), ServiceIdentity("o", "", "1.2.3.4:6"))
+    peer.append(events(spark, [("o", "a", 1, "x"), ("o", "b", 2, "y"), ("o", "c", 3, "z")]))
+    events(spark, [("o", "a", 2, "more"), ("o", "a", 1, "late")]).write.parquet(str(tmp_path / "in"))
+    config = {"service_name": "s", "instance_id": "i", "listen_address": "1.2.3.4:5", "wal_path": str(tmp_path / "own"),
+              "contracts": [{"source_service": "o", "event_types": ["a", "b"], "peer_address": "1.2.3.4:6"}]}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    report = service.run(spark, str(tmp_path / "c.json"), {"1.2.3.4:6": ("o", peer.path)}, str(tmp_path / "in"))
+    assert report["1.2.3.4:6"]["inserted"] == 2
+    assert sorted((r.event_type, r.sequence, r.payload) for r in EventLog(spark, str(tmp_path / "own")).events().collect()) == [("a", 1, "x"), ("a", 2, "more"), ("b", 2, "y")]
 
 
 def test_filters_reach_the_scan(spark, sf_dir):

@@ -10,7 +10,7 @@ Every four batches of a level become one of the next, so the number of files
 grows with the logarithm of the writes, and a row is rewritten as seldom.
 
 There is one writer at a time: a second one fails when it finds its version taken, as a version's
-file is created without overwriting.
+file is created without overwriting. `repair` clears a version that a stopped writer left unfinished.
 """
 
 from __future__ import annotations
@@ -110,16 +110,19 @@ class EventLog:
 
     def _merge_levels(self, state: dict) -> dict:
         """Batches of a level are merged when they are enough; higher levels hold older writes."""
-        while self.merged:
-            low = min((b["level"] for b in state["batches"]), default=0)
-            full = next((n for n in range(low, low + 64) if sum(b["level"] == n for b in state["batches"]) >= self.merged), None)
-            if full is None:
-                return state
-            own = [b for b in state["batches"] if b["level"] <= full]
-            kept = [b for b in state["batches"] if b["level"] > full]
-            state = self._rewrite(state, kept, own, full + 1)
+        while found := self._full_level(state["batches"]):
+            kept, own, level = found
+            state = self._rewrite(state, kept, own, level)
         return state
 
+    def _full_level(self, batches: list[dict]) -> tuple[list[dict], list[dict], int] | None:
+        """Batches that stay, those to merge, and their level, if a level has enough of them."""
+        levels = [b["level"] for b in batches]
+        full = min((n for n in set(levels) if self.merged and levels.count(n) >= self.merged), default=None)
+        if full is None:
+            return None
+        return [b for b in batches if b["level"] > full], [b for b in batches if b["level"] <= full], full + 1
+
     def _rewrite(self, state: dict, kept: list[dict], own: list[dict], level: int) -> dict:
         rows = self._visible(self._read([b["name"] for b in own]))
         spread = rows.repartition("origin_service", "event_type", F.floor(F.col("sequence") / 1_000_000))
@@ -177,18 +180,27 @@ class EventLog:
 
         Of a key that `rows` holds several times the greatest value counts.
         """
-        state = self._state()
-        name = f"{state['writes'] + 1:012d}-{uuid.uuid4().hex}"
-        values = rows.groupBy("key").agg(F.max("value").alias("value")).withColumn("write_order", F.lit(state["writes"] + 1).cast("long"))
-        values.where("key IS NOT NULL").sortWithinPartitions("key").write.parquet(f"{self.path}/keys/batch={name}")
-        self._commit(state | {"keys": [*state["keys"], name], "writes": state["writes"] + 1})
+        values = rows.where("key IS NOT NULL").groupBy("key").agg(F.max("value").alias("value"))
+        state = self._write_values(values, self._state())
+        while found := self._full_level(state["keys"]):
+            kept, own, level = found
+            state = self._write_values(self._values(own), state | {"keys": kept}, level)
+        self._commit(state)
+
+    def _write_values(self, values: DataFrame, state: dict, level: int = 0) -> dict:
+        name, order = f"{state['writes'] + 1:012d}-{uuid.uuid4().hex}", state["writes"] + 1
+        rows = values.select("key", "value", F.lit(order).cast("long").alias("write_order"))
+        rows.sortWithinPartitions("key").write.parquet(f"{self.path}/keys/batch={name}")
+        return state | {"keys": [*state["keys"], {"name": name, "level": level}], "writes": order}
 
     def values(self, where: Column | None = None) -> DataFrame:
         """The visible value of each key."""
-        names = self._state()["keys"]
-        if not names:
+        return self._values(self._state()["keys"], where)
+
+    def _values(self, batches: list[dict], where: Column | None = None) -> DataFrame:
+        if not batches:
             return self.spark.createDataFrame([], "key STRING, value STRING")
-        rows = self.spark.read.schema(_KEY_VALUES).option("basePath", f"{self.path}/keys").parquet(*[f"{self.path}/keys/batch={n}" for n in names])
+        rows = self.spark.read.schema(_KEY_VALUES).option("basePath", f"{self.path}/keys").parquet(*[f"{self.path}/keys/batch={b['name']}" for b in batches])
         return newest_per_key(rows if where is None else rows.where(where)).select("key", "value")
 
     def get_value(self, key: str) -> DataFrame:
@@ -285,15 +297,30 @@ class EventLog:
         self._commit(self._with_cursors(cursors, self._state()))
 
     def compact(self) -> None:
-        """Rewrite the visible events as one batch. Older files go with `vacuum`."""
+        """Rewrite the visible events as one batch, and the visible values of keys as one. Older files go with `vacuum`."""
         state = self._state()
         if state["batches"]:
-            self._commit(self._rewrite(state, [], state["batches"], max(b["level"] for b in state["batches"])))
+            state = self._rewrite(state, [], state["batches"], max(b["level"] for b in state["batches"]))
+        if len(state["keys"]) > 1:
+            state = self._write_values(self.values(), state | {"keys": []}, max(b["level"] for b in state["keys"]))
+        if state["batches"] or state["keys"]:
+            self._commit(state)
+
+    def repair(self) -> int:
+        """Delete newer versions that a writer left unfinished when it stopped; returns how many.
+
+        Until then writers find such a version taken. Call it only when no writer is at work.
+        """
+        newest = self._state()["version"]
+        left = [v for v in self._versions() if v > newest]
+        for version in left:
+            self._fs.delete(self._jvm.Path(f"{self.path}/versions/{version:012d}.json"), False)
+        return len(left)
 
     def vacuum(self) -> None:
         """Delete batches and cursor tables that the newest version no longer names."""
         state = self._state()
-        live = {*(f"batch={b['name']}" for b in state["batches"]), *(f"batch={n}" for n in state["keys"]), state["cursors"]}
+        live = {*(f"batch={b['name']}" for b in state["batches"]), *(f"batch={b['name']}" for b in state["keys"]), state["cursors"]}
         for folder in ("data", "keys", "cursors", "staged"):
             at = self._jvm.Path(f"{self.path}/{folder}")
             for entry in self._fs.listStatus(at) if self._fs.exists(at) else []:

@@ -121,6 +121,22 @@ def test_unfinished_version_is_not_read(spark, store):
     assert store.events().count() == 1
     with pytest.raises(EventError, match="another writer"):
         store.append(events(spark, [("a", "t", 2, "x")]))
+    assert store.repair() == 1 and store.repair() == 0
+    store.append(events(spark, [("a", "t", 2, "x")]))
+    assert store.events().count() == 2
+
+
+def test_batches_of_keys_are_merged(spark, store):
+    one = lambda k, v: spark.createDataFrame([(k, v)], "key string, value string")
+    for n in range(5):
+        store.put_values(one("same", f"v{9 - n}"))
+    assert sorted(b["level"] for b in store._state()["keys"]) == [0, 1]
+    store.put_values(one("other", "x"))
+    store.compact()
+    store.put_values(one("other", "y"))
+    store.vacuum()
+    assert sorted(b["level"] for b in store._state()["keys"]) == [0, 1] and store.versions().count() == 0
+    assert sorted(map(tuple, store.values().collect())) == [("other", "y"), ("same", "v5")]
 
 
 def test_ingest_rules(spark, store):

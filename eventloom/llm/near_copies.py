@@ -17,7 +17,9 @@ their components the shingle sets are compared, and they alone decide what is a
 
 A group may hold a third of all nodes. It is cut into blocks, each pair of blocks is one
 unit of work, and each unit reports a spanning forest of its links instead of all pairs,
-which has the same components.
+which has the same components. Where sets are compared, all members of a large component first
+meet a few of them, its hubs: what is similar to the best hub is linked already and is only
+compared with the rest, so a component of copies of one text takes time in proportion to it.
 
 Defined results: a null text counts as empty; texts without words are copies of each
 other and of nothing else; fewer words than a shingle has make one shingle; of a component the
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.shared import checkpoint, join_small, release_memory, sorted_groups
@@ -49,6 +51,8 @@ MIN_UPPER, GROUP_BITS = 5, 18
 RECALL = 0.998
 #: Nodes and shingles of a block in which sets are compared; nodes of a block of a group.
 BLOCK, BLOCK_HASHES, GROUP_BLOCK = 2_048, 1 << 20, 1 << 18
+#: Members that all members of a component beyond a block are compared with first.
+HUBS = 8
 #: Pairs of two table entries up to which each is compared; beyond, a forest is grown.
 LISTED = 1_024
 #: Distinct words whose hashes a task remembers.
@@ -259,6 +263,54 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -
     return links
 
 
+def _blocks() -> Column:
+    """Blocks of a group of sets `own`."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("own")) / BLOCK_HASHES)).cast("int")
+
+
+def hub_stars(sets: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, hub) of the members that are similar to the best hub of their component.
+
+    `sets` has key, node and own, and `large` the number of `blocks` of each large component. Of
+    `HUBS` members the best hub is the one with most similar members.
+    """
+    rows = join_small(sets, large, "key")
+    drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    hubs = checkpoint(rows.select("key", "node", drawn.alias("drawn")).where(F.col("drawn") <= HUBS).drop("drawn"))
+    # A hub goes to every block of its component, and each member to its own.
+    hubs = join_small(rows, hubs, ["key", "node"]).select(
+        "key", F.col("node").alias("hub"), F.col("own").alias("hub_own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    )
+    both = F.size(F.array_intersect("own", "hub_own"))
+    near = both >= similarity * (F.size("own") + F.size("hub_own") - both) - 1e-9
+    met = checkpoint(
+        rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .join(hubs, ["key", "block"]).where(near).select("key", "node", "hub")
+    )
+    counted = met.groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("key").agg(F.max(F.struct("n", "hub")).alias("best")).select("key", F.col("best.hub").alias("hub"))
+    return join_small(met, checkpoint(best), ["key", "hub"]).select("key", "node", "hub")
+
+
+def _blocked_around(sets: DataFrame, large: DataFrame, stars: DataFrame) -> DataFrame:
+    """The sets of large components once for each pair of blocks, `low` and `high`, that theirs is in.
+
+    What is in a star has blocks of its own behind those of the rest, and no pairs among them.
+    """
+    rows = checkpoint(join_small(sets, large.select("key"), "key").join(stars, ["key", "node"], "left").withColumn("starred", F.col("hub").isNotNull()))
+    counted = rows.groupBy("key", "starred").agg(_blocks().alias("n"))
+    of = lambda starred: F.coalesce(F.max(F.when(F.col("starred") == starred, F.col("n"))), F.lit(0))
+    blocks = counted.groupBy("key").agg(of(False).alias("rest_blocks"), of(True).alias("star_blocks")).where("rest_blocks > 0")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    last = F.col("rest_blocks") - 1
+    return (
+        join_small(rows, checkpoint(blocks), "key")
+        .withColumn("own_block", F.when(F.col("starred"), F.col("rest_blocks") + place("star_blocks")).otherwise(place("rest_blocks")))
+        .withColumn("other_block", F.explode(F.sequence(F.lit(0), F.when(F.col("starred"), last).otherwise(last + F.col("star_blocks")))))
+        .select("key", "node", "own", F.least("own_block", "other_block").alias("low"), F.greatest("own_block", "other_block").alias("high"))
+    )
+
+
 def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) of similar nodes within each component of the candidate pairs (a, b), as forests.
 
@@ -280,8 +332,13 @@ def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle:
     sets = checkpoint(
         join_small(texts, asked, "content").dropDuplicates(["node"]).select("key", "node", F.pandas_udf(cut, "array<bigint>")("text").alias("own"))
     )
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("own")) / BLOCK_HASHES)).cast("int")
-    dealt = _blocked(sets, ["key"], sets.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1"))
+    large = checkpoint(sets.groupBy("key").agg(_blocks().alias("blocks")).where("blocks > 1"))
+    whole = join_small(sets, large.select("key"), "key", "left_anti")
+    dealt = whole.select("key", "node", "own", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    stars = None
+    if not large.isEmpty():
+        stars = checkpoint(hub_stars(sets, large, similarity))
+        dealt = dealt.union(_blocked_around(sets, large, stars))
     keys = ["key", "low", "high"]
 
     def forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,7 +352,10 @@ def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle:
         yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
         release_memory()
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(forests, "a long, b long").distinct()
+    links = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(forests, "a long, b long")
+    if stars is not None:
+        links = links.union(stars.where("node <> hub").select("node", "hub"))
+    return links.distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", index: WideIndex | None = None) -> DataFrame:

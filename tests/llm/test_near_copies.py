@@ -73,6 +73,23 @@ def test_one_rule_at_every_size(spark, block, monkeypatch):
     assert kept(spark, rows) == kept_by_brute_force(rows)
 
 
+def test_hubs_leave_little_to_compare(spark, monkeypatch):
+    """Of 60 members 50 are similar to a hub: they meet the other ten only, and nobody in a component without others."""
+    monkeypatch.setattr(near_copies, "BLOCK", 10)
+    monkeypatch.setattr(near_copies, "HUBS", 60)
+    rows = [(1, n, [*range(100), 1000 + n]) for n in range(50)] + [(1, n, [*range(n * 100, n * 100 + 100)]) for n in range(50, 60)]
+    rows += [(2, n, [*range(100), n]) for n in range(100, 130)]
+    sets = near_copies.checkpoint(spark.createDataFrame(rows, "key long, node long, own array<bigint>"))
+    large = near_copies.checkpoint(sets.groupBy("key").agg(near_copies._blocks().alias("blocks")))
+    stars = near_copies.checkpoint(near_copies.hub_stars(sets, large, 0.8))
+    assert sorted({(r.key, r.node) for r in stars.collect()}) == [(1, n) for n in range(50)] + [(2, n) for n in range(100, 130)]
+    assert stars.select("key", "hub").distinct().count() == 2
+    dealt = near_copies._blocked_around(sets, large, stars)
+    # One block of ten others meets itself and the five blocks of the star.
+    assert dealt.where("key = 1").count() == 50 + 10 * 6 and dealt.where("key = 2").count() == 0
+    assert {(r.low, r.high) for r in dealt.collect()} == {(0, n) for n in range(6)}
+
+
 def test_columns_and_odd_rows(spark):
     text = "some words that are here in a row of ten words"
     rows = [(1, text, "x"), (2, text + " again", "y"), (2, text + " again", "y"), (3, None, None), (4, "", "z"), (None, text, "x"), (5, "!", "z"), (6, " \t", "z")]
